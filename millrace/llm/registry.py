@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe_trie, token_store
+from millrace.llm import bpe_trie, chat_quotes, mixing, quality_rules, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,13 +29,27 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_digest(table(spark, sf_dir, "documents"), default_tokenizer(), END_ID)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.verdicts(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "copy", "n_copies", F.round("rate", 9).alias("rate"), "shuffle_key", F.md5("text").alias("text_md5"))
+
+
+def op6_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.reply_ordered(table(spark, sf_dir, "conversations")).drop("text")
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_decode_digests(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_token_store": op2_token_store, "op7_bpe_trie": op7_bpe_trie}
+    return {f.__name__: f for f in (op2_token_store, op3_quality_rules, op4_mixing, op6_chat_quotes, op7_bpe_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality_rules.SQL, "op4_mixing": mixing.SQL}
