@@ -37,8 +37,8 @@ def rules() -> list[Rule]:
     tests = [
         ("few_words", n < 10),
         ("repeated_windows", 100 * F.col("n_repeat_words") > 20 * n),
-        ("symbols", 100 * s > 50 * n),
-        ("repeated_lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+        ("symbols", 100 * s > 10 * n),
+        ("repeated_lines", 100 * F.col("n_dup_lines") > 60 * F.col("n_lines")),
         ("short_words", c < 2 * n),
         ("long_words", c > 25 * n),
     ]
@@ -156,7 +156,7 @@ m AS (
   FROM w LEFT JOIN cov USING (doc_id)),
 b AS (
   SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
-         + (CASE WHEN 100 * n_symbols > 50 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END)
+         + (CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END)
          + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
