@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_trie, chat_quotes, mixing, quality_rules, token_store
+from millrace.llm import ann_multi_index, bpe_trie, chat_quotes, language_id, mixing, quality_rules, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,8 +47,19 @@ def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_decode_digests(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    away = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.where(~away))
+    return language_id.identified(docs.select("doc_id", away.alias("held_out"), "text"), model).drop("text")
+
+
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_store, op3_quality_rules, op4_mixing, op6_chat_quotes, op7_bpe_trie)}
+    return {f.__name__: f for f in (op2_token_store, op3_quality_rules, op4_mixing, op6_chat_quotes, op7_bpe_trie, op9_language_id, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
