@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann_multi_index, bpe_trie, chat_quotes, language_id, mixing, quality_rules, token_store
+from millrace.llm import ann_multi_index, bpe_trie, chat_quotes, html_extract, language_id, mixing, quality_rules, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_digest(table(spark, sf_dir, "documents"), default_tokenizer(), END_ID)
 
@@ -59,7 +63,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_store, op3_quality_rules, op4_mixing, op6_chat_quotes, op7_bpe_trie, op9_language_id, op10_multi_index)}
+    return {f.__name__: f for f in (op1_html_extract, op2_token_store, op3_quality_rules, op4_mixing, op6_chat_quotes, op7_bpe_trie, op9_language_id, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
