@@ -17,6 +17,7 @@ import json
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -176,8 +177,10 @@ def trie_encoder(tokenizer_path: str) -> tuple[TrieBPE, PieceEncoder]:
 def _rows(tokenizer_path: str, keep: list[str], full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = trie_encoder(tokenizer_path)
-        for batch in small_batches(batches, "text", 4 << 20):
-            ids = encoder.encode(batch.column("text").to_pylist())
+        for batch in small_batches(batches, "text", 8 << 20):
+            flat, n = encoder.encode(batch.column("text"))
+            raw, ends = flat.tobytes(), 4 * np.cumsum(n)
+            ids = [raw[a:b] for a, b in zip((ends - 4 * n).tolist(), ends.tolist())]
             texts = [bpe.decode(x) for x in ids]
             columns = [batch.column(x) for x in keep] + [pa.array([len(x) // 4 for x in ids], pa.int64())]
             if full:

@@ -1,8 +1,8 @@
-"""Cutting text at places where byte-level BPE never joins, with a bounded cache of what was encoded.
+"""Cutting text at places where byte-level BPE never joins, so that each distinct piece is encoded once.
 
 The pre-tokenizer gives a single space between two visible characters to what follows it, so a
-text cut there can be encoded piece by piece. Pieces that border on further white space are glued
-to their neighbours again before they are encoded.
+text cut there can be encoded piece by piece. Where a piece borders on further white space, the text
+is cut again at such spaces only.
 """
 
 from __future__ import annotations
@@ -10,121 +10,92 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: Punctuation that may end a piece; a letter or digit before it always ends a pre-token.
-ENDS = ".,;:!?"
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Longer pieces are encoded but not remembered.
 LONGEST = 64
 
 
 def lone(piece: str) -> bool:
-    """Whether a piece cut at a space has no white space at either end but that one space."""
-    return piece != "" and not piece[-1].isspace() and not (piece[0] == " " and piece[1].isspace())
-
-
-class TwoAges:
-    """A dict of bounded size: when the young half is full it becomes the old half."""
-
-    def __init__(self, bound: int):
-        self.bound, self.young, self.old = bound // 2, {}, {}
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.bound:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-    def get(self, key: str) -> bytes | None:
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-
-def safe_pieces(text: str) -> list[str]:
-    """Pieces of a text, each but the first beginning with its space."""
-    first, *rest = _SAFE_SPACE.split(text)
-    return [first, *(" " + x for x in rest)]
+    """Whether a piece cut at spaces is not empty and has no other white space at its ends."""
+    return piece != "" and not piece[0].isspace() and not piece[-1].isspace()
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; encode_many handles pieces not seen lately.
+    """Encodes columns of texts to ids. encode_many gives the ids, as bytes, of pieces not seen lately.
 
-    bound: entries that each of the two caches keeps.
+    bound: pieces that are remembered between batches; at the bound memory starts anew, and the
+    frequent pieces are back after a batch.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], bound: int = 600_000):
-        self.encode_many = encode_many
-        self.pieces, self.cores = TwoAges(bound), TwoAges(bound)
-
-    def _parts(self, piece: str) -> list[str]:
-        """A piece as parts between which no pre-token extends."""
-        out = []
-        lines = piece.split("\n")
-        if len(lines) > 1 and any(not x or x[0].isspace() and i or x[-1].isspace() for i, x in enumerate(lines)):
-            return [piece]
-        for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
-            core = line.rstrip(ENDS)
-            if core and core != line and core[-1].isalpha():
-                out += [core, line[len(core):]]
-            else:
-                out.append(line)
-        return out
-
-    def _fill(self, missing: list[str]) -> dict[str, bytes]:
-        parts = {p: self._parts(p) for p in missing}
-        known: dict[str, bytes] = {}
-        need = []
-        for part in {x for xs in parts.values() for x in xs}:
-            found = self.cores.get(part)
-            if found is None:
-                need.append(part)
-            else:
-                known[part] = found
-        for part, ids in zip(need, self.encode_many(need), strict=True):
-            known[part] = ids
-            if len(part) <= LONGEST:
-                self.cores.put(part, ids)
-        return {p: b"".join(map(known.__getitem__, xs)) for p, xs in parts.items()}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, null as empty."""
-        got: list = []
-        missing: set[str] = set()
-        young = self.pieces.young.get
-        for text in texts:
-            first, *rest = (text or "").split(" ")
-            own = [first, *[" " + x for x in rest]]
-            ids = list(map(young, own))
-            if None in ids:
-                gaps = [k for k, x in enumerate(ids) if x is None]
-                if any(own[k] and not lone(own[k]) for k in gaps):
-                    own = safe_pieces(text)
-                    ids = [None] * len(own)
-                    gaps = range(len(own))
-                missing.update([own[k] for k in gaps])
-                got.append((own, ids, gaps))
-            else:
-                got.append(b"".join(ids))
-        if not missing:
-            return got
-        found, need = {}, []
-        for p in missing:
-            if (x := self.pieces.get(p)) is None:
-                need.append(p)
-            else:
-                found[p] = x
-        for p, x in self._fill(need).items():
-            found[p] = x
-            if len(p) <= LONGEST and lone(p):
-                self.pieces.put(p, x)
-        for i, x in enumerate(got):
-            if not isinstance(x, bytes):
-                own, ids, gaps = x
-                for k in gaps:
-                    ids[k] = found[own[k]]
-                got[i] = b"".join(ids)
-        return got
+        self.encode_many, self.bound, self.known = encode_many, bound, {}
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Of distinct pieces, each with the space before it left out."""
+        ids = list(map(self.known.get, pieces))
+        gaps = [k for k, x in enumerate(ids) if x is None]
+        if gaps:
+            if len(self.known) + len(gaps) > self.bound:
+                self.known.clear()
+            for k, x in zip(gaps, self.encode_many([" " + pieces[k] for k in gaps]), strict=True):
+                ids[k] = x
+                if len(pieces[k]) <= LONGEST:
+                    self.known[pieces[k]] = x
+        return ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of ids of each text; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.values.dictionary_encode()
+        codes, bounds = coded.indices.to_numpy(), cut.offsets.to_numpy().astype("i8")
+        codes, bounds = codes[bounds[0] : bounds[-1]], bounds - bounds[0]
+        pieces = coded.dictionary.to_pylist()
+        first = bounds[:-1]
+        odd = np.array([not lone(p) for p in pieces])
+        unsafe = np.zeros(len(codes) + 1, bool)
+        unsafe[:-1] = odd[codes]
+        starts = [pieces[c] for c in codes[first].tolist()]
+        unsafe[first] = [x[-1:].isspace() for x in starts]
+        again = np.flatnonzero(np.logical_or.reduceat(unsafe[:-1], first)) if len(first) else []
+        heads, tails = list(starts), {}
+        if len(again):  # cut the texts anew whose white space is more than single spaces
+            place = {p: k for k, p in enumerate(pieces)}
+            for i in again.tolist():
+                heads[i], *rest = _SAFE_SPACE.split(texts[i].as_py())
+                tails[i] = [place.setdefault(p, len(place)) for p in rest]
+            pieces = list(place)
+            parts, at = [], 0
+            for i in again.tolist():
+                parts += [codes[at : bounds[i]], np.array([0, *tails[i]], "i8")]
+                at = bounds[i + 1]
+            parts.append(codes[at:])
+            sizes = np.diff(bounds)
+            sizes[again] = [1 + len(tails[i]) for i in again.tolist()]
+            codes, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+            first = bounds[:-1]
+        used = np.zeros(len(pieces), bool)
+        inner = np.ones(len(codes), bool)
+        inner[first] = False
+        used[codes[inner]] = True
+        wanted = np.flatnonzero(used)
+        distinct = self._ids([pieces[k] for k in wanted.tolist()])
+        where = np.zeros(len(pieces), "i8")
+        where[wanted] = np.arange(len(wanted))
+        kinds = list(dict.fromkeys(heads))
+        head = dict(zip(kinds, range(len(distinct), len(distinct) + len(kinds))))
+        slots = where[codes]
+        slots[first] = [head[x] for x in heads]
+        table = distinct + [x if p else b"" for p, x in zip(kinds, self.encode_many(kinds), strict=True)]
+        length = np.array([len(x) // 4 for x in table], "i8")
+        flat, begin = np.frombuffer(b"".join(table), dtype="<u4"), np.cumsum(length) - length
+        n = length[slots]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(begin[slots] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, "<u4")
+        counts = np.add.reduceat(n, first) if len(first) else np.zeros(0, "i8")
+        return ids, counts
