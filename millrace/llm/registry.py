@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann_multi_index, bpe_trie, chat_quotes, html_extract, language_id, mixing, quality_rules, token_store
+from millrace.llm import ann_multi_index, bpe_trie, chat_quotes, html_extract, language_id, mixing, near_dedup, quality_rules, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "copy", "n_copies", F.round("rate", 9).alias("rate"), "shuffle_key", F.md5("text").alias("text_md5"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.grouped(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_quotes.reply_ordered(table(spark, sf_dir, "conversations")).drop("text")
 
@@ -63,7 +67,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extract, op2_token_store, op3_quality_rules, op4_mixing, op6_chat_quotes, op7_bpe_trie, op9_language_id, op10_multi_index)}
+    return {f.__name__: f for f in (op1_html_extract, op2_token_store, op3_quality_rules, op4_mixing, op5_near_dedup, op6_chat_quotes, op7_bpe_trie, op9_language_id, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
