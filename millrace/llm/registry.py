@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann_multi_index, bpe_trie, chat_quotes, html_extract, language_id, mixing, near_dedup, quality_rules, token_store
+from millrace.llm import ann_multi_index, bpe_trie, chat_quotes, html_extract, language_id, mixing, near_dedup, quality_rules, suffix_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_decode_digests(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     away = language_id.held_out(F.col("doc_id"))
@@ -67,7 +71,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extract, op2_token_store, op3_quality_rules, op4_mixing, op5_near_dedup, op6_chat_quotes, op7_bpe_trie, op9_language_id, op10_multi_index)}
+    return {f.__name__: f for f in (op1_html_extract, op2_token_store, op3_quality_rules, op4_mixing, op5_near_dedup, op6_chat_quotes, op7_bpe_trie, op8_suffix_dedup, op9_language_id, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
