@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,39 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8
         yield batch.slice(start, n - start)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str, rows: int = 2048) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by the keys; a group must fit in memory."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        if sum(x.num_rows for x in held) < rows:
+            continue
+        table = pa.concat_tables(held).combine_chunks()
+        same = None
+        for k in keys:
+            x = pc.equal(table.column(k), table.column(k)[-1])
+            same = x if same is None else pc.and_(same, x)
+        cut = table.num_rows - int(pc.sum(same).as_py())
+        if cut:
+            yield table.slice(0, cut)
+        held = [table.slice(cut)]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def group_bounds(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """From and to of each run of equal values in sorted columns."""
+    n = len(columns[0])
+    fresh = np.zeros(n + 1, bool)
+    fresh[[0, n]] = True
+    for c in columns:
+        fresh[1:n] |= c[1:] != c[:-1]
+    at = np.flatnonzero(fresh).tolist()
+    return list(zip(at[:-1], at[1:])) if n else []
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")

@@ -23,6 +23,7 @@ rows are kept whole; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drop_stored, ship, small_batches, stored
+from millrace.llm.common import drop_stored, group_bounds, ship, small_batches, stored, whole_groups
 from millrace.llm.shingles import BANDS, COORDINATES, fingerprints, shingle_sets, sketches
 
 #: Similarity in hundredths that links two texts.
 PERCENT = 80
-#: Sketches that agree in a smaller share are over four standard deviations below the threshold.
-LEAST_AGREEMENT = 0.64
-#: Texts compared by one task with one centre; rows of one block; partners tried at a time.
-GROUP, BLOCK, PARTNERS = 128, 1024, 8
+#: Sketches that agree in a smaller share are four standard deviations below the threshold.
+LEAST_AGREEMENT = 0.70
+#: Texts compared at a time with one centre; rows of one block; partners tried in the first round, and in later ones.
+GROUP, BLOCK, PARTNERS = 128, 1024, (4, 64)
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,22 +60,32 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_profile, "doc_id long, n_shingles long, print binary, sketch binary")
 
 
-def _similar(batches: pa.Table) -> pa.Table:
-    """Of one group: the centre's text and members' texts; the members that link with it."""
-    centre, rows = batches.column("centre")[0].as_py(), sorted(zip(batches.column("doc_id").to_pylist(), batches.column("text").to_pylist()), key=lambda x: x[0])
-    linked, of = [], None
-    for i, x in rows:
-        if i == centre:
-            of = shingle_sets([x])[0]
-            break
-    for lo in range(0, len(rows), 64):
-        some = rows[lo : lo + 64]
-        for (i, _), own in zip(some, shingle_sets([x for _, x in some])):
-            if i != centre and len(own):
-                both = len(np.intersect1d(of, own, assume_unique=True))
-                if 100 * both >= PERCENT * (len(of) + len(own) - both):
-                    linked.append(i)
-    return pa.table([pa.array(linked, pa.int64()), pa.array([centre] * len(linked), pa.int64())], names=["a", "b"])
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches come sorted by centre and part; of each group, the members that link with the centre."""
+    for table in whole_groups(batches, "centre", "part", rows=512):
+        ids, centre, part = (table.column(c).to_numpy() for c in ("doc_id", "centre", "part"))
+        sets: list[np.ndarray] = []
+        for batch in table.select(["text"]).to_batches():
+            for piece in small_batches(iter([batch]), "text", 1 << 20):
+                sets += shingle_sets(piece.column("text").to_pylist())
+        a, b = [], []
+        for lo, hi in group_bounds(centre, part):
+            c = centre[lo]
+            at = lo + np.flatnonzero(ids[lo:hi] == c)
+            if not len(at):
+                continue
+            of = sets[at[0]]
+            for k in range(lo, hi):
+                own = sets[k]
+                if ids[k] != c and len(own) and 100 * min(len(of), len(own)) >= PERCENT * max(len(of), len(own)):
+                    both = np.concatenate([of, own])
+                    both.sort(kind="stable")
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if 100 * same >= PERCENT * (len(of) + len(own) - same):
+                        a.append(ids[k])
+                        b.append(c)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -87,7 +98,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sent = stored(pairs.join(sizes, "b").select("a", F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part")), "sent")
     wanted = sent.select(F.col("a").alias("doc_id"), "centre", "part").unionByName(sent.select(F.col("centre").alias("doc_id"), "centre", "part").distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return wanted.join(texts, "doc_id").groupBy("centre", "part").applyInArrow(_similar, "a long, b long")
+    return wanted.join(texts, "doc_id").repartition("centre", "part").sortWithinPartitions("centre", "part").mapInArrow(_similar, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -114,25 +125,32 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def _partners(batches: pa.Table) -> pa.Table:
-    """Of one block of a bucket: for each stray row and other component, the likeliest untested partners."""
-    out_a, out_b = [], []
-    stray = np.asarray(batches.column("stray").to_numpy(zero_copy_only=False), bool)
-    ids, comp, n = (batches.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-    marks = np.frombuffer(b"".join(batches.column("sketch").to_pylist()), "<u2").reshape(-1, COORDINATES)
-    member = np.asarray(batches.column("member").to_numpy(zero_copy_only=False), bool)
-    rows = np.flatnonzero(member)
-    least = int(LEAST_AGREEMENT * COORDINATES)
-    for i in np.flatnonzero(stray).tolist():
-        same = (marks[rows] == marks[i]).sum(1)
-        small, large = np.minimum(n[rows], n[i]), np.maximum(n[rows], n[i])
-        ok = np.flatnonzero((same >= least) & (comp[rows] != comp[i]) & (100 * small >= PERCENT * large))
-        for c in np.unique(comp[rows[ok]]).tolist():
-            own = ok[comp[rows[ok]] == c]
-            for k in own[np.argsort(-same[own], kind="stable")][:PARTNERS].tolist():
-                out_a.append(max(ids[i], ids[rows[k]]))
-                out_b.append(min(ids[i], ids[rows[k]]))
-    return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+def _partners(most: int):
+    """Of each block of a bucket: for each stray row and other component, the likeliest partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = int(LEAST_AGREEMENT * COORDINATES)
+        for table in whole_groups(batches, "band", "key", "block"):
+            out_a, out_b = [], []
+            stray, member = (np.asarray(table.column(c).to_numpy(), bool) for c in ("stray", "member"))
+            ids, comp, n, band, block = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "band", "block"))
+            key = np.frombuffer(b"".join(table.column("key").to_pylist()), "<u8")
+            marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, COORDINATES)
+            for lo, hi in group_bounds(band, key, block):
+                rows = lo + np.flatnonzero(member[lo:hi])
+                for i in (lo + np.flatnonzero(stray[lo:hi])).tolist():
+                    same = (marks[rows] == marks[i]).sum(1)
+                    small, large = np.minimum(n[rows], n[i]), np.maximum(n[rows], n[i])
+                    ok = np.flatnonzero((same >= least) & (comp[rows] != comp[i]) & (100 * small >= PERCENT * large))
+                    for c in np.unique(comp[rows[ok]]).tolist():
+                        own = ok[comp[rows[ok]] == c]
+                        for k in own[np.argsort(-same[own], kind="stable")][:most].tolist():
+                            out_a.append(max(ids[i], ids[rows[k]]))
+                            out_b.append(min(ids[i], ids[rows[k]]))
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -147,7 +165,7 @@ def linked_classes(reps: DataFrame, docs: DataFrame) -> DataFrame:
     met = stored(bands.join(buckets, ["band", "key"]).select("band", "key", "node", "centre", "rows"), "met")
     pairs = stored(met.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     tested, links = pairs, stored(verified(pairs, docs), "links")
-    while True:
+    for k in itertools.count():
         found = components(links)
         own = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         own = stored(own.select("band", "key", "node", "component", "rows"), "placed")
@@ -157,7 +175,8 @@ def linked_classes(reps: DataFrame, docs: DataFrame) -> DataFrame:
         members = rows.withColumn("member", F.lit(True)).withColumn("stray", F.col("stray") & (F.col("blocks") == 1))
         strays = rows.where("stray AND blocks > 1").withColumn("member", F.lit(False)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         both = members.unionByName(strays).select("band", "key", "block", "node", "component", "n_shingles", "sketch", "stray", "member")
-        new = both.groupBy("band", "key", "block").applyInArrow(_partners, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        dealt = both.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block")
+        new = dealt.mapInArrow(_partners(PARTNERS[min(k, 1)]), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         new = stored(new, "pairs")
         if new.isEmpty():
             return found

@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-#: Coordinates of a sketch, kept as 16 bits each; a band is four of them, so its key is 64 bits.
-COORDINATES, ROWS = 128, 4
-BANDS = COORDINATES // ROWS
+#: Coordinates of a sketch, kept as 16 bits each; a band is four of the first ones, so its key is 64 bits.
+COORDINATES, ROWS, BANDS = 256, 4, 32
 SHINGLE = 4
 
 _rng = np.random.default_rng(20_240_501)
