@@ -2,56 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that separates words in every word-based contract (fixed value).
-WORD_BREAK = r"[\x20\x09-\x0D]+"
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the session was started elsewhere."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in have:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or one under the warehouse if unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return found.rstrip("/")
-
+from millrace.storage import drop_stored, scratch, ship, stored
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["WORD_BREAK", "drop_stored", "group_bounds", "let", "scratch", "ship", "small_batches", "stored", "whole_groups", "words"]
 
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._millrace_path = path
-    return out
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Remove a table made by stored() once nothing will read it again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._millrace_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: White space that separates words in every word-based contract (fixed value).
+WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -111,7 +75,3 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Bind value once for body: Catalyst would copy the expression to each of its uses."""
     return F.transform(F.array(value), body)[0]
-
-
-def wide(n: int, least: int = 1) -> int:
-    return max(least, int(n))

@@ -18,7 +18,8 @@ smallest hash among those inside it (the leftmost on ties). So only suffixes at
 Texts are read whole, in segments with margins, so memory does not grow with a text.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows with a null doc_id
-lose nothing; rows that repeat a doc_id are one document, of the text that is first by its bytes, and get its result;
+lose nothing; rows that repeat a doc_id count as one place,
+so none of them is a copy of another;
 an empty table gives an empty one.
 """
 
@@ -267,6 +268,11 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(mix(one).view("i8")), pa.array(mix(half ^ U(0x5851F42D4C957F2D)).view("i8")), pa.array(doc[of]), pa.array((pos[of] + step).astype("i4"))], names=["h1", "h2", "doc_id", "start"])
 
 
+#: doc_id and SHA-256 of the text tell which row was cut; they are unlike any column that a table may have.
+_CUT = ["_cut_id", "_cut_sha", "_n_removed", "_n_spans", "_kept"]
+_CUT_SCHEMA = "_cut_id long, _cut_sha string, _n_removed long, _n_spans long, _kept string"
+
+
 def _cut(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 4 << 20):
@@ -286,10 +292,10 @@ def _cut(full: bool):
                 kept = raw[~gone].tobytes()
                 n = int(gone.sum())
                 tail = kept.decode(errors="ignore") if full else hashlib.sha256(kept).hexdigest()
-                out.append((doc, len(raw), n, int((np.diff(gone.astype("i1"), prepend=0) == 1).sum()), tail))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                out.append((doc, hashlib.sha256(raw.tobytes()).hexdigest(), n, int((np.diff(gone.astype("i1"), prepend=0) == 1).sum()), tail))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_CUT)
 
     return run
 
@@ -328,12 +334,12 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def removal(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    cut = stored(repeated(docs).mapInArrow(_cut(False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string"), "cut")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
-    lost = cut.select("doc_id", "n_removed", "n_spans", "kept")
-    out = rows.join(lost, "doc_id", "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    lost = stored(repeated(docs).mapInArrow(_cut(False), _CUT_SCHEMA), "cut").where("_n_removed > 0").distinct()
+    rows = ids.select("doc_id", size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
+    out = rows.join(lost, (F.col("doc_id") == F.col("_cut_id")) & (F.col("_sha") == F.col("_cut_sha")), "left")
+    return out.select("doc_id", "n_bytes", F.coalesce("_n_removed", F.lit(0)).alias("n_removed"), F.coalesce("_n_spans", F.lit(0)).alias("n_spans"), F.coalesce("_kept", "_sha").alias("kept_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -341,7 +347,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Characters that lose a byte go; a document of which nothing is left goes too.
     """
-    cut = stored(repeated(docs).mapInArrow(_cut(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string"), "cut")
-    out = docs.join(cut.where("n_removed > 0").select("doc_id", "kept"), "doc_id", "left").where("kept IS NULL OR kept != ''")
-    new = {"text": F.coalesce("kept", "text")} | ({"n_chars": F.coalesce(F.length("kept").cast("long"), "n_chars")} if "n_chars" in docs.columns else {})
-    return out.withColumns(new).select(*docs.columns)
+    cut = stored(repeated(docs).mapInArrow(_cut(True), _CUT_SCHEMA), "cut").where("_n_removed > 0")
+    one = cut.groupBy("_cut_id", "_cut_sha").agg(F.first("_kept").alias("_kept"))  # repeated rows are cut alike
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    out = docs.withColumn("_sha", sha).join(one, (F.col("doc_id") == F.col("_cut_id")) & (F.col("_sha") == F.col("_cut_sha")), "left")
+    new = {"text": F.coalesce("_kept", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return out.where("_kept IS NULL OR _kept != ''").withColumns(new).select(*docs.columns)
