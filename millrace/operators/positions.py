@@ -20,23 +20,23 @@ _SHIFT = 33  # of the partition in monotonically_increasing_id
 
 
 def _placed(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """The rows with _part and _place, stored: both must not change between the two readings."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    return stored(rows.withColumn("_part", F.shiftright("_id", _SHIFT)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << _SHIFT) - 1))).drop("_id"), "placed")
+    """The rows with _mr_part and _mr_place, stored: both must not change between the two readings."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mr_id", F.monotonically_increasing_id())
+    return stored(rows.withColumn("_mr_part", F.shiftright("_mr_id", _SHIFT)).withColumn("_mr_place", F.col("_mr_id").bitwiseAND(F.lit((1 << _SHIFT) - 1))).drop("_mr_id"), "placed")
 
 
 def _offsets(parts: DataFrame, value: str, to: str) -> DataFrame:
-    """_part and the sum of value over all parts before; parts has one row a partition."""
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("_part", F.coalesce(F.sum(value).over(w), F.lit(0)).alias(to))
+    """_mr_part and the sum of value over all parts before; parts has one row a partition."""
+    w = Window.orderBy("_mr_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("_mr_part", F.coalesce(F.sum(value).over(w), F.lit(0)).alias(to))
 
 
 def with_positions(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
     """Adds the row's 0-based position in the order."""
     rows = _placed(df, order)
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    out = rows.join(_offsets(sizes, "_n", "_before"), "_part")
-    return out.withColumn(name, F.col("_before") + F.col("_place")).select(*df.columns, name)
+    sizes = rows.groupBy("_mr_part").agg(F.count(F.lit(1)).alias("_mr_n"))
+    out = rows.join(_offsets(sizes, "_mr_n", "_mr_before"), "_mr_part")
+    return out.withColumn(name, F.col("_mr_before") + F.col("_mr_place")).select(*df.columns, name)
 
 
 def first_part(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
@@ -69,10 +69,10 @@ def levelled(df: DataFrame, ranks: int, key: str = "key", place: bool = True) ->
 
     A key's rank comes from the rows of all smaller keys: the prefix sum of its counts, not of the rows.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    sums = exclusive_sum(counts, "_n", key, name="_before")
-    total = max(1, sums.agg(F.sum("_n")).first()[0] or 0)
-    ranked = sums.select(F.col(key).alias("_key"), F.floor(F.col("_before") * ranks / total).cast("int").alias("rank"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_mr_n"))
+    sums = exclusive_sum(counts, "_mr_n", key, name="_mr_before")
+    total = max(1, sums.agg(F.sum("_mr_n")).first()[0] or 0)
+    ranked = sums.select(F.col(key).alias("_key"), F.floor(F.col("_mr_before") * ranks / total).cast("int").alias("rank"))
     out = df.join(ranked, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     return out.repartitionById(ranks, F.col("rank")) if place else out
 
@@ -93,10 +93,10 @@ def histogram(df: DataFrame, ranks: int, rank: str = "rank") -> DataFrame:
 def exclusive_sum(df: DataFrame, value: str, *order: str | Column, name: str = "scan") -> DataFrame:
     """Adds the sum of value over all rows before in the order."""
     rows = _placed(df, order)
-    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("_part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
-    out = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(_offsets(parts, "_sum", "_before"), "_part")
-    return out.withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)
+    inside = Window.partitionBy("_mr_part").orderBy("_mr_place").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_mr_part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_mr_sum"))
+    out = rows.withColumn("_mr_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(_offsets(parts, "_mr_sum", "_mr_before"), "_mr_part")
+    return out.withColumn(name, F.col("_mr_before") + F.col("_mr_inside")).select(*df.columns, name)
 
 
 def exclusive_scan(df: DataFrame, value: str, combine: Callable[[Any, Any], Any], identity: Any, *order: str | Column, name: str = "scan", kind: str | None = None) -> tuple[DataFrame, Any]:
@@ -111,23 +111,23 @@ def exclusive_scan(df: DataFrame, value: str, combine: Callable[[Any, Any], Any]
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         total = identity
-        for v in f.sort_values("_place")["_v"]:
+        for v in f.sort_values("_mr_place")["_v"]:
             total = combine(total, v)
-        return pd.DataFrame({"_part": [f["_part"].iloc[0]], "_total": [total]})
+        return pd.DataFrame({"_mr_part": [f["_mr_part"].iloc[0]], "_total": [total]})
 
-    partials = rows.select("_part", "_place", F.col(value).alias("_v")).groupBy("_part").applyInPandas(fold, f"_part long, _total {kind}")
+    partials = rows.select("_mr_part", "_mr_place", F.col(value).alias("_v")).groupBy("_mr_part").applyInPandas(fold, f"_mr_part long, _total {kind}")
     before, total = {}, identity
-    for r in sorted(partials.collect(), key=lambda r: r["_part"]):
-        before[r["_part"]] = total
+    for r in sorted(partials.collect(), key=lambda r: r["_mr_part"]):
+        before[r["_mr_part"]] = total
         total = combine(total, r["_total"])
 
     def scan(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        f = frames.sort_values("_place")
-        state, out = before[int(f["_part"].iloc[0])], []
+        f = frames.sort_values("_mr_place")
+        state, out = before[int(f["_mr_part"].iloc[0])], []
         for v in f[value]:
             out.append(state)
             state = combine(state, v)
-        return f.drop(columns=["_part", "_place"]).assign(**{name: out})
+        return f.drop(columns=["_mr_part", "_mr_place"]).assign(**{name: out})
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
-    return rows.groupBy("_part").applyInPandas(scan, f"{fields}, `{name}` {kind}"), total
+    return rows.groupBy("_mr_part").applyInPandas(scan, f"{fields}, `{name}` {kind}"), total
