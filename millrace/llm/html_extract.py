@@ -41,6 +41,7 @@ MARKS = frozenset(
     popup promo promoted promotion recommendation recommendations recommended related respond rss search share sharing shares sidebar signup skip skyscraper
     social sponsor sponsored subscribe subscription toolbar tooltip widget contentinfo complementary alert""".split()
 )
+_TAG = re.compile(r"<[a-zA-Z/!?]")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 SIGMA, REACH = 1.0, 2
@@ -159,6 +160,9 @@ def main_text(html: str | None) -> str:
     comment = html.rfind("<!--")
     if comment >= 0 and html.find("-->", comment) < 0:  # never closed: to the end of the page
         html = html[:comment]
+    tail = html.rfind(">") + 1
+    if cut := _TAG.search(html, tail):  # a tag that the page's end cuts off
+        html = html[: cut.start()]
     parser = _Events()
     try:
         parser.feed(html)
