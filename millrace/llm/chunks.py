@@ -1,8 +1,9 @@
-"""Cutting text at places where byte-level BPE never joins, so that each distinct piece is encoded once.
+"""Cutting text at places where byte-level BPE never joins, so that each distinct part is encoded once.
 
-The pre-tokenizer gives a single space between two visible characters to what follows it, so a
-text cut there can be encoded piece by piece. Where a piece borders on further white space, the text
-is cut again at such spaces only.
+The pre-tokenizer gives a single space between two visible characters to what follows it, keeps a
+single line end apart, and starts anew at closing punctuation behind a letter. Columns of texts are cut
+there by Arrow kernels, so Python sees each distinct part of a batch only once. Texts with other
+white space than single spaces and line ends are cut at safe spaces only.
 """
 
 from __future__ import annotations
@@ -15,87 +16,97 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Longer pieces are encoded but not remembered.
+#: Marks a part that has no space before it; texts that hold it themselves are cut the other way.
+BARE = "\x01"
+#: Punctuation that is cut off behind a letter.
+ENDS = ".,;:!?"
+#: Longer parts are encoded but not remembered.
 LONGEST = 64
-
-
-def lone(piece: str) -> bool:
-    """Whether a piece cut at spaces is not empty and has no other white space at its ends."""
-    return piece != "" and not piece[0].isspace() and not piece[-1].isspace()
+_BLANKS = "\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_ODD = f"^\\x01?$|^\\x01?[{_BLANKS}]|[{_BLANKS}]$"
 
 
 class PieceEncoder:
-    """Encodes columns of texts to ids. encode_many gives the ids, as bytes, of pieces not seen lately.
+    """Encodes columns of texts to ids. encode_many gives the ids, as bytes, of texts not seen lately.
 
-    bound: pieces that are remembered between batches; at the bound memory starts anew, and the
-    frequent pieces are back after a batch.
+    bound: parts that are remembered between batches; at the bound memory starts anew, and the
+    frequent parts are back after a batch.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], bound: int = 600_000):
         self.encode_many, self.bound, self.known = encode_many, bound, {}
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Of distinct pieces, each with the space before it left out."""
-        ids = list(map(self.known.get, pieces))
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Of distinct parts; those without the mark have a space before them."""
+        ids = list(map(self.known.get, parts))
         gaps = [k for k, x in enumerate(ids) if x is None]
         if gaps:
             if len(self.known) + len(gaps) > self.bound:
                 self.known.clear()
-            for k, x in zip(gaps, self.encode_many([" " + pieces[k] for k in gaps]), strict=True):
+            texts = [x[1:] if x[:1] == BARE else " " + x for x in (parts[k] for k in gaps)]
+            for k, x in zip(gaps, self.encode_many(texts), strict=True):
                 ids[k] = x
-                if len(pieces[k]) <= LONGEST:
-                    self.known[pieces[k]] = x
+                if len(parts[k]) <= LONGEST:
+                    self.known[parts[k]] = x
         return ids
 
+    def _odd(self, texts: list[str]) -> list[bytes]:
+        cut = []
+        for text in texts:
+            first, *rest = _SAFE_SPACE.split(text)
+            cut.append([BARE + first, *[BARE + " " + x if x[:1] == BARE else x for x in rest]])
+        kinds = list(dict.fromkeys(x for own in cut for x in own))
+        ids = dict(zip(kinds, self._ids(kinds)))
+        return [b"".join([ids[x] for x in own]) for own in cut]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text; null counts as empty."""
+        n = len(texts)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, "i8")
         texts = pc.fill_null(texts, "")
-        cut = pc.split_pattern(texts, " ")
-        coded = cut.values.dictionary_encode()
-        codes, bounds = coded.indices.to_numpy(), cut.offsets.to_numpy().astype("i8")
-        codes, bounds = codes[bounds[0] : bounds[-1]], bounds - bounds[0]
-        pieces = coded.dictionary.to_pylist()
-        first = bounds[:-1]
-        odd = np.array([not lone(p) for p in pieces])
-        unsafe = np.zeros(len(codes) + 1, bool)
-        unsafe[:-1] = odd[codes]
-        starts = [pieces[c] for c in codes[first].tolist()]
-        unsafe[first] = [x[-1:].isspace() for x in starts]
-        again = np.flatnonzero(np.logical_or.reduceat(unsafe[:-1], first)) if len(first) else []
-        heads, tails = list(starts), {}
-        if len(again):  # cut the texts anew whose white space is more than single spaces
-            place = {p: k for k, p in enumerate(pieces)}
-            for i in again.tolist():
-                heads[i], *rest = _SAFE_SPACE.split(texts[i].as_py())
-                tails[i] = [place.setdefault(p, len(place)) for p in rest]
-            pieces = list(place)
-            parts, at = [], 0
-            for i in again.tolist():
-                parts += [codes[at : bounds[i]], np.array([0, *tails[i]], "i8")]
-                at = bounds[i + 1]
-            parts.append(codes[at:])
-            sizes = np.diff(bounds)
-            sizes[again] = [1 + len(tails[i]) for i in again.tolist()]
-            codes, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
-            first = bounds[:-1]
+        lines = pc.replace_substring(texts, "\n", f" {BARE}\n {BARE}")
+        cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(BARE), lines, ""), " ")
+        bounds = cut.offsets.to_numpy().astype("i8")
+        coded = cut.flatten().dictionary_encode()
+        codes, bounds = coded.indices.to_numpy(), bounds - bounds[0]
+        first, pieces = bounds[:-1], coded.dictionary
+
+        odd = np.array(pc.match_substring_regex(pieces, _ODD))
+        newline = pc.index(pieces, BARE + "\n").as_py()
+        if newline >= 0:
+            odd[newline] = False
+        again = np.logical_or.reduceat(odd[codes], first) | np.array(pc.match_substring(texts, BARE))
+
+        core = pc.utf8_rtrim(pieces, ENDS)
+        tailed = pc.and_(pc.utf8_is_alpha(pc.utf8_slice_codeunits(core, -1)), pc.not_equal(core, pieces))
+        tails = pc.struct_field(pc.extract_regex(pieces, f"(?P<tail>[{ENDS}]*)$"), [0])
+        core, tails = pc.if_else(tailed, core, pieces).dictionary_encode(), pc.if_else(tailed, tails, "").dictionary_encode()
         used = np.zeros(len(pieces), bool)
-        inner = np.ones(len(codes), bool)
-        inner[first] = False
-        used[codes[inner]] = True
-        wanted = np.flatnonzero(used)
-        distinct = self._ids([pieces[k] for k in wanted.tolist()])
-        where = np.zeros(len(pieces), "i8")
-        where[wanted] = np.arange(len(wanted))
-        kinds = list(dict.fromkeys(heads))
-        head = dict(zip(kinds, range(len(distinct), len(distinct) + len(kinds))))
-        slots = where[codes]
-        slots[first] = [head[x] for x in heads]
-        table = distinct + [x if p else b"" for p, x in zip(kinds, self.encode_many(kinds), strict=True)]
+        used[codes[~np.repeat(again, np.diff(bounds))]] = True
+        core_of, tail_of = core.indices.to_numpy(), tails.indices.to_numpy()
+        wanted = np.zeros(len(core.dictionary), bool)
+        wanted[core_of[used]] = True
+        table = [b""] * len(wanted)
+        at = np.flatnonzero(wanted)
+        for k, x in zip(at.tolist(), self._ids(core.dictionary.take(pa.array(at)).to_pylist())):
+            table[k] = x
+        ends = tails.dictionary.to_pylist()
+        table += [x if t else b"" for t, x in zip(ends, self._ids([BARE + t for t in ends]))]
+
         length = np.array([len(x) // 4 for x in table], "i8")
         flat, begin = np.frombuffer(b"".join(table), dtype="<u4"), np.cumsum(length) - length
-        n = length[slots]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(begin[slots] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, "<u4")
-        counts = np.add.reduceat(n, first) if len(first) else np.zeros(0, "i8")
+        slots = np.empty(2 * len(codes), "i8")
+        slots[0::2], slots[1::2] = core_of[codes], len(wanted) + tail_of[codes]
+        size = length[slots]
+        size[np.repeat(again, 2 * np.diff(bounds))] = 0
+        stop = np.cumsum(size)
+        ids = flat[np.repeat(begin[slots] - (stop - size), size) + np.arange(stop[-1])] if len(stop) and stop[-1] else np.zeros(0, "<u4")
+        counts = np.add.reduceat(size, 2 * first)
+        if again.any():
+            places = np.flatnonzero(again)
+            extra = [np.frombuffer(x, "<u4") for x in self._odd([texts[i].as_py() for i in places.tolist()])]
+            sizes = np.array([len(x) for x in extra])
+            ids = np.insert(ids, np.repeat((np.cumsum(counts) - counts)[places], sizes), np.concatenate(extra))
+            counts[places] = sizes
         return ids, counts

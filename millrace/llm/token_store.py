@@ -48,22 +48,32 @@ def library_encoder(tokenizer_path: str) -> PieceEncoder:
         own.no_truncation()
         own.no_padding()
 
+        special = {x.content for x in own.get_added_tokens_decoder().values()}
+        newline = np.zeros(own.get_vocab_size(), bool)
+        newline[own.encode("\n", add_special_tokens=False).ids] = True
         spaced = np.array([(own.id_to_token(i) or "").startswith(SPACE) for i in range(own.get_vocab_size())])
 
         def ids_of(text: str) -> bytes:
             return array("I", own.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+        def together(texts: list[str], some: list[int], out: list[bytes], joined: str, starts: np.ndarray) -> None:
+            """Encodes some texts in one call; they begin where a token is one of starts."""
+            raw = ids_of(joined)
+            at = np.flatnonzero(starts[np.frombuffer(raw, dtype="<u4")])
+            skip = 0 if starts is spaced else 1
+            if len(at) == len(some) and at[0] == 0:
+                for i, a, b in zip(some, (4 * (at + skip)).tolist(), [*(4 * at[1:]).tolist(), len(raw)]):
+                    out[i] = raw[a:b]
+
         def encode_many(texts: list[str]) -> list[bytes]:
-            """Pieces behind a space are encoded in one call, whose ids fall apart where a token begins with the space."""
+            """Parts behind a space are encoded in one call, and so are bare ones, with a line end before each."""
             out = [b""] * len(texts)
-            plain = [i for i, x in enumerate(texts) if x[:1] == " " and " " not in x[1:]]
-            for lo in range(0, len(plain), 20_000):
-                some = plain[lo : lo + 20_000]
-                raw = ids_of("".join([texts[i] for i in some]))
-                at = (4 * np.flatnonzero(spaced[np.frombuffer(raw, dtype="<u4")])).tolist()
-                if len(at) == len(some) and at[0] == 0:
-                    for i, a, b in zip(some, at, [*at[1:], len(raw)]):
-                        out[i] = raw[a:b]
+            behind = [i for i, x in enumerate(texts) if x[:1] == " " and " " not in x[1:] and not x[-1].isspace()]
+            bare = [i for i, x in enumerate(texts) if x and not any(c.isspace() for c in x) and x not in special]
+            for some, mark, starts in ((behind, "", spaced), (bare, "\n", newline)):
+                for lo in range(0, len(some), 20_000):
+                    part = some[lo : lo + 20_000]
+                    together(texts, part, out, "".join([mark + texts[i] for i in part]), starts)
             for i, x in enumerate(texts):
                 if x and not out[i]:
                     out[i] = ids_of(x)
