@@ -12,8 +12,9 @@ smallest hash among those inside it (the leftmost on ties). So only suffixes at
    common prefixes of neighbours are verified on the bytes, and running minima over them, with the
    common extensions to the left, give for each pair the longest string around the anchor that both
    hold. If it has LENGTH bytes, the later place loses it.
-4. An anchor with more than MANY contexts is left out of the sort; all its strings of LENGTH bytes are
-   grouped by a 128-bit hash instead, in an aggregate that starts on the map side.
+4. An anchor with more than MANY contexts is left out of the sort. Its contexts are compared with the
+   first of them, byte by byte; their other strings of LENGTH bytes are grouped by a 128-bit hash, in an
+   aggregate that starts on the map side.
 
 Texts are read whole, in segments with margins, so memory does not grow with a text.
 
@@ -248,24 +249,45 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kmer", "doc_id", "pos", "bytes", "before", "many"])
 
 
+def _reach(x: bytes, y: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(x), len(y))
+    differs = np.frombuffer(x, "u1", n) != np.frombuffer(y, "u1", n)
+    return int(differs.argmax()) if differs.any() else n
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of LENGTH bytes of the contexts: its 128-bit hash, document and start."""
+    """Contexts beside the first one of their anchor. What they share with it is one span (no hash).
+
+    Every other string of LENGTH bytes comes with its 128-bit hash; if it occurs in another context, it
+    is not in the first one there either, so it comes from both.
+    """
+    names = ["h1", "h2", "doc_id", "start", "stop"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
             part = batch.slice(lo, 2048)
-            contexts = part.column("bytes").to_pylist()
-            sizes = np.array([len(x) for x in contexts])
+            contexts, before, lead = (part.column(c).to_pylist() for c in ("bytes", "before", "lead"))
+            doc, pos = part.column("doc_id").to_numpy(), part.column("pos").to_numpy().astype("i8")
+            right = np.array([_reach(x[k:], y["bytes"][y["before"] :]) for x, k, y in zip(contexts, before, lead)], "i8")
+            left = np.array([_reach(x[:k][::-1], y["bytes"][: y["before"]][::-1]) for x, k, y in zip(contexts, before, lead)], "i8")
+            other = np.array([(d, p) != (y["doc_id"], y["pos"]) for d, p, y in zip(doc.tolist(), pos.tolist(), lead)])
+            met = np.flatnonzero(other & (left + right >= LENGTH))
+            none = pa.nulls(len(met), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[met]), pa.array((pos - left)[met].astype("i4")), pa.array((pos + right)[met].astype("i4"))], names=names)
+            sizes, before = np.array([len(x) for x in contexts]), np.array(before, "i8")
             begin = np.cumsum(sizes) - sizes
             raw = np.frombuffer(b"".join(contexts), "u1")
             sums, down = _prefix(raw)
             n = np.maximum(sizes - LENGTH + 1, 0)
             of = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            fresh = (step < (before - left)[of]) | (step + LENGTH > (before + right)[of])
+            of, step = of[fresh], step[fresh]
             at = begin[of] + step
             one = (sums[at + LENGTH] - sums[at]) * down[at]
             half = (sums[at + LENGTH // 2] - sums[at]) * down[at]
-            doc, pos = part.column("doc_id").to_numpy(), part.column("pos").to_numpy() - part.column("before").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(mix(one).view("i8")), pa.array(mix(half ^ U(0x5851F42D4C957F2D)).view("i8")), pa.array(doc[of]), pa.array((pos[of] + step).astype("i4"))], names=["h1", "h2", "doc_id", "start"])
+            start = (pos - before)[of] + step
+            yield pa.RecordBatch.from_arrays([pa.array(mix(one).view("i8")), pa.array(mix(half ^ U(0x5851F42D4C957F2D)).view("i8")), pa.array(doc[of]), pa.array(start.astype("i4")), pa.array((start + LENGTH).astype("i4"))], names=names)
 
 
 #: doc_id and SHA-256 of the text tell which row was cut; they are unlike any column that a table may have.
@@ -324,11 +346,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     drop_stored(met)
     contexts = stored(texts.where("firsts IS NOT NULL").select("doc_id", "text", "firsts").mapInArrow(_contexts, "kmer long, doc_id long, pos int, bytes binary, before int, many boolean"), "edges")
     spans = contexts.where("NOT many").drop("many").repartition("kmer").sortWithinPartitions("kmer", "doc_id", "pos").mapInArrow(_sorted_groups, "doc_id long, start int, stop int")
-    strings = contexts.where("many").select("doc_id", "pos", "bytes", "before").mapInArrow(_strings, "h1 long, h2 long, doc_id long, start int")
+    many = contexts.where("many").select("kmer", "doc_id", "pos", "bytes", "before")
+    leads = stored(many.groupBy("kmer").agg(F.min(F.struct("doc_id", "pos", "bytes", "before")).alias("lead")), "leads")
+    strings = many.join(leads, "kmer").mapInArrow(_strings, "h1 long, h2 long, doc_id long, start int, stop int")
     strings = stored(strings.distinct(), "strings")
-    origin = stored(strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n"), "origins")
-    more = strings.join(origin, ["h1", "h2"]).where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start"))).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    marked = stored(spans.unionByName(more).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    origin = stored(strings.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n"), "origins")
+    more = strings.join(origin, ["h1", "h2"]).where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start"))).select("doc_id", "start", "stop")
+    spans = spans.unionByName(strings.where("h1 IS NULL").select("doc_id", "start", "stop")).unionByName(more)
+    marked = stored(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
     return texts.select("doc_id", "text", "whole").join(marked, "doc_id", "left").where("whole IS NOT NULL OR spans IS NOT NULL")
 
 
