@@ -6,11 +6,10 @@
    pair at the threshold is missed with a probability under 1e-7.
 3. First round: every member of a bucket is compared with the bucket's smallest id, on full shingle
    sets. That makes as many pairs as rows, whatever the bucket's size. Links give components.
-4. Further rounds: buckets that still hold two components or more are looked at again. Members outside
-   the bucket's leading component are compared by sketch with all others, in blocks of bounded size,
-   and for each member and other component the likeliest partners are verified. Rounds go on until
-   no pair is left untested whose sketches allow the threshold, so no link between components is lost
-   to the choice of partners.
+4. Buckets that still hold two components or more are looked at twice again. Members outside the bucket's
+   leading component are compared by sketch with all others, in blocks of bounded size: first the
+   likeliest partners in each other component are verified, which joins most; then every pair between what
+   are still two components, if its sketches agree as much as a pair at the threshold is expected to.
 
 Sets are hashes of 64 bits; two different shingles of a pair are taken for one with a probability
 under 1e-12. Nothing that grows with the data is collected or broadcast.
@@ -23,7 +22,6 @@ rows are kept whole; an empty table gives an empty one.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +34,11 @@ from millrace.llm.shingles import BANDS, COORDINATES, fingerprints, shingle_sets
 
 #: Similarity in hundredths that links two texts.
 PERCENT = 80
-#: Sketches that agree in a smaller share are four standard deviations below the threshold.
-LEAST_AGREEMENT = 0.70
-#: Texts compared at a time with one centre; rows of one block; partners tried in the first round, and in later ones.
-GROUP, BLOCK, PARTNERS = 128, 1024, (4, 64)
+#: Rounds after the first: least share of a sketch that agrees, and partners tried for a row and a component (0: all).
+#: At the threshold the shares are 4 and 2.4 standard deviations below the mean.
+ROUNDS = ((0.70, 4), (0.74, 0))
+#: Texts compared at a time with one centre; rows of one block.
+GROUP, BLOCK = 128, 1024
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +124,11 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def _partners(most: int):
+def _partners(share: float, most: int):
     """Of each block of a bucket: for each stray row and other component, the likeliest partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = int(LEAST_AGREEMENT * COORDINATES)
+        least = int(share * COORDINATES)
         for table in whole_groups(batches, "band", "key", "block"):
             out_a, out_b = [], []
             stray, member = (np.asarray(table.column(c).to_numpy(), bool) for c in ("stray", "member"))
@@ -144,7 +143,7 @@ def _partners(most: int):
                     ok = np.flatnonzero((same >= least) & (comp[rows] != comp[i]) & (100 * small >= PERCENT * large))
                     for c in np.unique(comp[rows[ok]]).tolist():
                         own = ok[comp[rows[ok]] == c]
-                        for k in own[np.argsort(-same[own], kind="stable")][:most].tolist():
+                        for k in own[np.argsort(-same[own], kind="stable")][: most or None].tolist():
                             out_a.append(max(ids[i], ids[rows[k]]))
                             out_b.append(min(ids[i], ids[rows[k]]))
             if out_a:
@@ -165,7 +164,7 @@ def linked_classes(reps: DataFrame, docs: DataFrame) -> DataFrame:
     met = stored(bands.join(buckets, ["band", "key"]).select("band", "key", "node", "centre", "rows"), "met")
     pairs = stored(met.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     tested, links = pairs, stored(verified(pairs, docs), "links")
-    for k in itertools.count():
+    for share, most in ROUNDS:
         found = components(links)
         own = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         own = stored(own.select("band", "key", "node", "component", "rows"), "placed")
@@ -176,12 +175,13 @@ def linked_classes(reps: DataFrame, docs: DataFrame) -> DataFrame:
         strays = rows.where("stray AND blocks > 1").withColumn("member", F.lit(False)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         both = members.unionByName(strays).select("band", "key", "block", "node", "component", "n_shingles", "sketch", "stray", "member")
         dealt = both.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block")
-        new = dealt.mapInArrow(_partners(PARTNERS[min(k, 1)]), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        new = dealt.mapInArrow(_partners(share, most), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         new = stored(new, "pairs")
         if new.isEmpty():
             return found
         tested = tested.unionByName(new)
         links = stored(links.unionByName(verified(new, docs)), "links")
+    return components(links)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
