@@ -178,7 +178,7 @@ def linked_classes(reps: DataFrame, docs: DataFrame) -> DataFrame:
         new = dealt.mapInArrow(_partners(share, most), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         new = stored(new, "pairs")
         if new.isEmpty():
-            return found
+            continue
         tested = tested.unionByName(new)
         links = stored(links.unionByName(verified(new, docs)), "links")
     return components(links)
