@@ -100,28 +100,33 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return wanted.join(texts, "doc_id").repartition("centre", "part").sortWithinPartitions("centre", "part").mapInArrow(_similar, "a long, b long")
 
 
+#: Links that a task of the component search writes: small tables are not spread over every partition.
+LINKS_A_TASK = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest id reachable) of the links a, b, by alternating star rounds.
 
     Large star: a node's larger neighbours go to its smallest one; small star: so do its smaller ones.
-    Each keeps the components and shortens the paths; rounds grow with the logarithm of the nodes.
+    Each keeps the components and shortens the paths, until every node has one link, to a node without any;
+    rounds grow with the logarithm of the nodes.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    seen = None
     while True:
+        tasks = edges.count() // LINKS_A_TASK + 4
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large.coalesce(tasks), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        new = stored(small.where("u != v").distinct(), "small-star")
-        state = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        new = stored(small.where("u != v").distinct().coalesce(tasks), "small-star")
         drop_stored(large)
         drop_stored(edges)
         edges = new
-        if state == seen:
+        deeper = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+        if deeper.isEmpty() and edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = state
 
 
 def _partners(share: float, most: int):
