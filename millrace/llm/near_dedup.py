@@ -140,12 +140,14 @@ def _partners(share: float, most: int):
             ids, comp, n, band, block = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "band", "block"))
             key = np.frombuffer(b"".join(table.column("key").to_pylist()), "<u8")
             marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, COORDINATES)
+            bands = marks[:, : 4 * BANDS].copy().view("<u8")
             for lo, hi in group_bounds(band, key, block):
                 rows = lo + np.flatnonzero(member[lo:hi])
                 for i in (lo + np.flatnonzero(stray[lo:hi])).tolist():
                     same = (marks[rows] == marks[i]).sum(1)
+                    here = (bands[rows] == bands[i]).argmax(1) == band[lo]  # a pair counts in the first band that it shares
                     small, large = np.minimum(n[rows], n[i]), np.maximum(n[rows], n[i])
-                    ok = np.flatnonzero((same >= least) & (comp[rows] != comp[i]) & (100 * small >= PERCENT * large))
+                    ok = np.flatnonzero(here & (same >= least) & (comp[rows] != comp[i]) & (100 * small >= PERCENT * large))
                     for c in np.unique(comp[rows[ok]]).tolist():
                         own = ok[comp[rows[ok]] == c]
                         for k in own[np.argsort(-same[own], kind="stable")][: most or None].tolist():
