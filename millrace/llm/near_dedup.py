@@ -9,7 +9,7 @@
 4. Buckets that still hold two components or more are looked at twice again. Members outside the bucket's
    leading component are compared by sketch with all others, in blocks of bounded size: first the
    likeliest partners in each other component are verified, which joins most; then every pair between what
-   are still two components, if its sketches agree as much as a pair at the threshold is expected to.
+   are still two components, unless its sketches agree in fewer places than the last share in ROUNDS asks.
 
 Sets are hashes of 64 bits; two different shingles of a pair are taken for one with a probability
 under 1e-12. Nothing that grows with the data is collected or broadcast.
@@ -35,8 +35,8 @@ from millrace.llm.shingles import BANDS, COORDINATES, fingerprints, shingle_sets
 #: Similarity in hundredths that links two texts.
 PERCENT = 80
 #: Rounds after the first: least share of a sketch that agrees, and partners tried for a row and a component (0: all).
-#: At the threshold the shares are 4 and 2.4 standard deviations below the mean.
-ROUNDS = ((0.70, 4), (0.74, 0))
+#: The last decides what is left out: at the threshold a pair falls below its share with a probability under 1e-6.
+ROUNDS = ((0.70, 4), (0.67, 0))
 #: Texts compared at a time with one centre; rows of one block.
 GROUP, BLOCK = 128, 1024
 

@@ -81,6 +81,20 @@ def test_chain_of_links(spark):
     assert {x["component_id"] for x in near_dedup.grouped(table(spark, rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("agree", [188, 182, 172])
+def test_link_behind_likelier_partners(spark, agree):
+    """The only link of a row agrees in few places, and more members than are tried first rank above it."""
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join([f"y{i}x{k}" for k in range(8)] + base[8:]) for i in range(6)] + [" ".join(base), " ".join(base[:90] + [f"z{k}" for k in range(10)])]
+    marks = np.zeros((8, 256), "<u2")
+    marks[:, 4:128:4] = np.arange(1, 9)[:, None]  # the first band alone is shared, and 97 of the first 128 places agree
+    marks[:6, 128:153], marks[6, 128 : 353 - agree] = 1, 2
+    assert [int((marks[7] == m).sum()) for m in marks[:7]] == [200] * 6 + [agree]
+    reps = spark.createDataFrame([(i, 97, bytearray(m.tobytes())) for i, m in enumerate(marks)], "node long, n_shingles long, sketch binary")
+    found = near_dedup.linked_classes(reps, table(spark, list(enumerate(texts)))).collect()
+    assert {(x["node"], x["component"]) for x in found} == {(i, 0) for i in range(1, 8)}
+
+
 def test_repeated_rows_and_no_rows(spark):
     got = near_dedup.grouped(table(spark, [(5, "a b c d e"), (5, "a b c d e"), (2, "A b c d e"), (None, "a b c d e")])).collect()
     assert sorted((x["doc_id"] or -1, x["component_id"] or -1, x["kept"]) for x in got)[1:] == [(2, 2, True), (5, 2, False), (5, 2, False)]
