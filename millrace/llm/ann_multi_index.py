@@ -7,8 +7,9 @@ has passed hold PROBE_SHARE of the rows. What lies in those cells is scored exac
 
 Cells are packed into blocks of BLOCK_ROWS rows at most (a larger cell is dealt over several blocks
 by a hash of vec_id), and the queries of a block into groups of BLOCK_QUERIES, so a task holds one
-block and one group of queries. Equal vectors of a block are scored once, and only as many of their
-ids as can be among the k nearest go on, which is exact. Each block returns k rows for a query.
+block and one group of queries. Rows equal in vec_id and vector are merged before they are indexed.
+Equal vectors of a block are scored once, and only as many of their ids as can be among the k nearest
+go on, which is exact. Each block returns k vec_ids for a query, of their best scores there.
 
 Defined results: a vector that is null, zero, or has a null or non-finite component, or another
 length than most vectors have, takes no part; so does a null vec_id. A query's own vec_id is no
@@ -149,7 +150,15 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             kinds, cls = np.unique(np.column_stack([x, cell.astype("f8")]), axis=0, return_inverse=True)
             cls = cls.ravel()
             order = np.lexsort((ids, cls))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (cls[order][1:] != cls[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+            order = order[fresh]  # a vec_id once in a class
             first = np.searchsorted(cls[order], np.arange(len(kinds) + 1))
+            _, name, times = np.unique(ids[order], return_inverse=True, return_counts=True)
+            wide = times[name] > 1  # of vec_ids with several vectors
+            by_id = np.flatnonzero(wide)[np.argsort(name[wide], kind="stable")]
+            starts = np.cumsum([0, *times[times > 1]])[:-1]
+            wide_cls, single = cls[order[by_id]], np.unique(cls[order[~wide]])
             x, cell = kinds[:, :-1], kinds[:, -1].astype("i8")
             q_all, q_ids, q_cells = _matrix(queries.column("vector").combine_chunks()), queries.column("query_id").to_numpy(), queries.column("cells").combine_chunks()
             offsets, flat = q_cells.offsets.to_numpy(), q_cells.values.to_numpy()
@@ -165,8 +174,10 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 ok = (at < len(present)) & (present[np.minimum(at, len(present) - 1)] == mine)
                 probed[of[ok], at[ok]] = True
                 s[~probed[:, place]] = -np.inf
-                n = min(k + 1, s.shape[1])
-                edge = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                # columns without a vec_id in common: none of the k nearest is below the best k + 1 of them
+                apart = np.concatenate([s[:, single], np.maximum.reduceat(s[:, wide_cls], starts, axis=1)], axis=1) if len(by_id) else s
+                n = min(k + 1, apart.shape[1])
+                edge = np.partition(apart, apart.shape[1] - n, axis=1)[:, apart.shape[1] - n]
                 r, c = np.nonzero((s >= edge[:, None] - 1e-9 * (1 + np.abs(edge[:, None]))) & (s > -np.inf) if np.isfinite(edge).any() else s > -np.inf)
                 exact = np.zeros(len(r))
                 for j in range(x.shape[1]):  # one order of summation for every pair, so equal vectors tie
@@ -178,6 +189,10 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 qi, sc = q_ids[lo + r[rep]], exact[rep]
                 keep = v != qi
                 r2, v, qi, sc = r[rep][keep], v[keep], qi[keep], sc[keep]
+                rank = np.lexsort((-sc, v, r2))
+                best = np.ones(len(rank), bool)
+                best[1:] = (r2[rank][1:] != r2[rank][:-1]) | (v[rank][1:] != v[rank][:-1])
+                r2, v, qi, sc = (a[rank[best]] for a in (r2, v, qi, sc))
                 rank = np.lexsort((v, -sc, r2))
                 begin = np.searchsorted(r2[rank], np.arange(len(q)))
                 top = rank[np.arange(len(rank)) - begin[r2[rank]] < k] if len(rank) else rank
@@ -193,7 +208,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = PROB
     """query_id, rank, vec_id, score: for every row whose vec_id is divisible by every, its k nearest found."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = valid(vectors)
+    rows = valid(vectors).distinct()
     books = fit(rows)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

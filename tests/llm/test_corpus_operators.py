@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,26 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("case", ["every row twice", "one row often", "one id with many vectors"])
+def test_repeated_vectors(case):
+    """One block gives the k nearest vec_ids by their best scores, however often they are repeated."""
+    r = np.random.default_rng(5)
+    rows = [(i, v) for i, v in enumerate(r.integers(-9, 10, (60, 4)).astype("f8").tolist(), 1)]
+    if case == "every row twice":
+        rows += rows
+    elif case == "one row often":
+        rows += [(i, [50.0] * 4) for i in range(101, 131) for _ in range(30 if i == 101 else 1)]
+    else:
+        rows += [(101, [50.0 + j, 50.0, 50.0, 50.0]) for j in range(30)]
+    data = pa.table({"vec_id": [i for i, _ in rows], "embedding": [x for _, x in rows], "cell": pa.array([0] * len(rows), pa.int32())})
+    queries = pa.table({"query_id": [0], "vector": [[1.0, 2.0, 3.0, 4.0]], "cells": pa.array([[0]], pa.list_(pa.int32()))})
+    got = ann_multi_index._best(20)(data, queries).to_pylist()
+    best = {}
+    for i, x in rows:
+        best[i] = max(best.get(i, -1e9), x[0] + 2 * x[1] + 3 * x[2] + 4 * x[3])
+    assert [(g["vec_id"], g["score"]) for g in got] == sorted(best.items(), key=lambda t: (-t[1], t[0]))[:20]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in ann_multi_index.search(df, share=1.0).collect())
