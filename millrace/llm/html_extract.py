@@ -9,8 +9,9 @@ that holds most of them all. Its blocks are the text, but for parts that their e
 id or role marks as something else (menus, notices, adverts, forms, reader comments and the like).
 Ratios choose the region only: a short paragraph inside it stays.
 
-Defined results: null, empty and tag-only pages give an empty text; broken markup is read as far as
-the parser can follow; a character reference that is cut off stays as written; rows that repeat are
+Defined results: null, empty and tag-only pages give an empty text; broken markup is read to the end
+of the page; a comment ends as in browsers, at the page's end if nothing closes it, and opens in no script,
+style, title, textarea or attribute; ``<![`` of any kind is a comment up to the next ``>``; a character reference that is cut off stays as written; rows that repeat are
 each extracted; a page_id or url may be null; other columns are ignored; an empty table gives none.
 """
 
@@ -42,6 +43,7 @@ MARKS = frozenset(
     social sponsor sponsored subscribe subscription toolbar tooltip widget contentinfo complementary alert""".split()
 )
 _TAG = re.compile(r"<[a-zA-Z/!?]")
+_COMMENT_END = re.compile(r"--(?:!|\s*)>")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 SIGMA, REACH = 1.0, 2
@@ -60,12 +62,37 @@ class Block:
 class _Events(HTMLParser):
     """Blocks of a page, in page order."""
 
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "title", "textarea")
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.open: list[tuple[str, int, bool, int]] = []  # tag, number, apart, number of the article around it
         self.count, self.fresh, self.tags, self.links = 0, True, 0, 0
         self.pages = {0}  # numbers of html and body elements
+        self.at, self.unclosed = 0, set()  # place of the start tag; tags that nothing closes behind it
+
+    def parse_starttag(self, i: int) -> int:
+        self.at = i
+        return super().parse_starttag(i)
+
+    def set_cdata_mode(self, elem: str) -> None:
+        if elem in ("title", "textarea"):  # one that is never closed does not hold the rest of the page
+            if elem not in self.unclosed and not re.compile(rf"</\s*{elem}\s*>", re.I).search(self.rawdata, self.at):
+                self.unclosed.add(elem)
+            if elem in self.unclosed:
+                return
+        super().set_cdata_mode(elem)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, report)
 
     def _is_apart(self, tag: str, attrs: list[tuple[str, str | None]], article: int) -> bool:
         if tag in NO_TEXT or tag in APART or tag == "header" and not article:
@@ -157,18 +184,12 @@ def smoothed(values: list[float]) -> list[float]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    comment = html.rfind("<!--")
-    if comment >= 0 and html.find("-->", comment) < 0:  # never closed: to the end of the page
-        html = html[:comment]
     tail = html.rfind(">") + 1
     if cut := _TAG.search(html, tail):  # a tag that the page's end cuts off
         html = html[: cut.start()]
     parser = _Events()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # markup declarations that the parser refuses
-        pass
+    parser.feed(html)
+    parser.close()
     blocks = [(x, " ".join("".join(x.parts).split())) for x in parser.blocks]
     blocks = [(x, text) for x, text in blocks if text and not x.apart]
     if not blocks:

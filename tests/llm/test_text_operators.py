@@ -50,6 +50,18 @@ def test_broken_pages(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "odd",
+    ["<script>if (s.indexOf('<!--') >= 0) f();</script>", "<style>a { content: '<!--' }</style>", "<title>What <!-- does</title>", "<p title='<!--'></p>", "<!-- note --!>", "<!-->", "<![foo bar[x]]>", "<![ if x]>", "<![CDATA[x>", "<title>"],
+)
+def test_article_behind_odd_markup(odd):
+    assert html_extract.main_text(f"<html><head>{odd}</head><body><article><p>The article.</p></article></body></html>") == "The article."
+
+
+def test_comment_that_nothing_closes():
+    assert html_extract.main_text("<p>before</p><!-- a > b <p>never shown</p>") == "before"
+
+
 def test_flat_page_without_article():
     words = "word " * 40
     page = f"<body><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><div class=wrap><div class=content><h2>Head</h2><p>{words}</p><p>{words}</p><p>end</p></div><div class=sidebar><p>side text</p></div></div></body>"
