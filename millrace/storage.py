@@ -18,10 +18,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder under the warehouse where it is unset."""
+    """spark.checkpoint.dir. Where it is unset, a folder under the warehouse, if all tasks reach that."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        home = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        if not alone and (home.startswith("file:") or "://" not in home):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = home + "/_scratch"
     return found.rstrip("/")
 
 
