@@ -7,7 +7,8 @@ words of a batch form a trie; their sorted order is its depth-first order, so a
 along the current path is all the state that is kept, and what two words share is computed once.
 
 Defined results: null and empty texts give no ids; the end-of-text marker in a text becomes its
-special id, as in the file; a lone surrogate cannot occur in a Spark string. Other columns pass.
+special id, as in the file; a lone surrogate cannot occur in a Spark string; a null doc_id stays null; rows
+that repeat are each encoded; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from millrace.llm.chunks import PieceEncoder
-from millrace.llm.common import ship, small_batches
+from millrace.llm.common import lean, ship, small_batches
 
 #: Pre-token pattern of the byte-level family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,7 +43,7 @@ def byte_symbols() -> dict[str, int]:
 class TrieBPE:
     """The tokenizer of one file."""
 
-    def __init__(self, tokenizer_path: str, pairs_bound: int = 1_000_000):
+    def __init__(self, tokenizer_path: str, pairs_bound: int = 300_000):
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
         self.path, symbols = tokenizer_path, byte_symbols()
@@ -164,6 +165,7 @@ class TrieBPE:
         return raw
 
 
+#: By tokenizer file. A worker that runs more tasks keeps what it has encoded, within the bounds.
 _encoders: dict[str, tuple[TrieBPE, PieceEncoder]] = {}
 
 
@@ -177,7 +179,7 @@ def trie_encoder(tokenizer_path: str) -> tuple[TrieBPE, PieceEncoder]:
 def _rows(tokenizer_path: str, keep: list[str], full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = trie_encoder(tokenizer_path)
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 2 << 20):
             flat, n = encoder.encode(batch.column("text"))
             raw, ends = flat.tobytes(), 4 * np.cumsum(n)
             ids = [raw[a:b] for a, b in zip((ends - 4 * n).tolist(), ends.tolist())]
@@ -189,7 +191,7 @@ def _rows(tokenizer_path: str, keep: list[str], full: bool) -> Callable[[Iterato
                 columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *(("ids", "decoded") if full else ("ids_sha256", "decoded_sha256"))])
 
-    return run
+    return lean(run)
 
 
 def _apply(docs: DataFrame, tokenizer_path: str, full: bool, added: str) -> DataFrame:

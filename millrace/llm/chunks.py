@@ -33,7 +33,7 @@ class PieceEncoder:
     frequent parts are back after a batch.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], bound: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], bound: int = 200_000):
         self.encode_many, self.bound, self.known = encode_many, bound, {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:

@@ -25,7 +25,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import ship, small_batches
+from millrace.llm.common import lean, ship, small_batches
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -223,7 +223,7 @@ def main_text(html: str | None) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "html", 4 << 20):
+    for batch in small_batches(batches, "html", 1 << 20):
         texts = [main_text(x) for x in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -232,4 +232,4 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page. No exchange."""
     ship(pages.sparkSession)
     rows = pages.select("page_id", "url", "html")
-    return rows.mapInArrow(_extract, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(_extract), f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

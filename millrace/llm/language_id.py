@@ -3,9 +3,11 @@
 Training counts letter trigrams (bytes of lower-cased text, hashed to GRAMS slots, spaces between
 words) for each language over all labelled rows. For a document every word gets a log likelihood
 under each language from its trigrams; expectation-maximisation then estimates the languages' shares
-of the words. Nested language sets (the best one, two, three) are refitted, and the set with the
-largest likelihood less a penalty for each further language is kept. The prediction is the set's
-largest share.
+of the words. Nested language sets (the best one, the best two, and so on) are refitted until a further
+language, less its penalty, no longer raises the likelihood. The prediction is the set's largest share.
+
+The model holds GRAMS log probabilities for each language, and half, a quarter and so on of the slots
+where there are so many languages that it would pass MODEL entries; so its broadcast is bounded.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn
 from, every prediction is ``und``; ties go to the language first in alphabetical order; a null doc_id
@@ -24,14 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import ship, small_batches
+from millrace.llm.common import drop_stored, lean, ship, small_batches, stored
 
-GRAMS = 1 << 16
+#: Slots of a language's trigrams, and entries of the model for all languages (4 bytes each).
+GRAMS, MODEL = 1 << 16, 1 << 25
 SMOOTHING = 0.1
-#: A word's likelihood is kept away from zero, as names and typing errors belong to no language.
-LARGEST_SET, ROUNDS, PENALTY = 3, 10, 6.0
-#: The model has GRAMS floats for each language; so many languages are the most that it takes.
-MOST_LANGUAGES = 500
+#: Rounds of a fit; what a further language must add to the log likelihood, beside half the logarithm of the words.
+ROUNDS, PENALTY = 10, 6.0
 NONE = "und"
 ADDED = ("lang_pred", "score", "lang_set")
 
@@ -41,7 +42,7 @@ _FOLD = np.where([chr(b).isalpha() or b >= 0x80 for b in range(256)], np.arange(
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # GRAMS x languages: log probabilities
+    table: np.ndarray  # slots x languages: log probabilities
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,7 +65,7 @@ def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for batch in small_batches(batches, "text", 4 << 20):
+    for batch in small_batches(batches, "text", 1 << 20):
         langs = batch.column("lang").to_pylist()
         names = sorted(set(langs))
         code = {x: i for i, x in enumerate(names)}
@@ -85,12 +86,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame) -> Model:
     """Learns from text and non-null lang of all given rows; only summed counts reach the driver."""
     ship(labelled.sparkSession)
-    rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(_counts, "lang string, gram int, n long")
-    sums = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(lean(_counts), "lang string, gram int, n long")
+    sums = stored(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    slots, n = GRAMS, sums.select("lang").distinct().count()
+    while slots > 1 and slots * n > MODEL:
+        slots //= 2
+    folded = sums.groupBy("lang", F.shiftright("gram", (GRAMS // slots).bit_length() - 1).alias("gram")).agg(F.sum("n").alias("n")) if slots < GRAMS else sums
+    sums_here = folded.toArrow()  # MODEL rows at most
+    drop_stored(sums)
+    sums = sums_here
     languages = sorted(set(sums.column("lang").to_pylist()))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model takes {MOST_LANGUAGES}")
-    counts = np.zeros((GRAMS, len(languages)))
+    counts = np.zeros((slots, len(languages)))
     code = {x: i for i, x in enumerate(languages)}
     counts[sums.column("gram").to_numpy(), [code[x] for x in sums.column("lang").to_pylist()]] = sums.column("n").to_numpy()
     kinds = max(1, int((counts.sum(1) > 0).sum()))
@@ -112,6 +118,7 @@ def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
     slots, starts, of = _letters(texts)
     if not len(slots) or not model.languages:
         return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0), np.zeros((0, len(model.languages)))
+    slots >>= (GRAMS // len(model.table)).bit_length() - 1
     word = np.add.reduceat(model.table[slots], starts, axis=0, dtype="f8")
     docs, first, of, n = np.unique(of, return_index=True, return_inverse=True, return_counts=True)
     most = word.max(1)
@@ -128,14 +135,23 @@ def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
     if k > 1:
         full, _ = _fit(likely, most, first, of, n, np.full((len(docs), k), 1 / k))
         order = np.argsort(-full, axis=1, kind="stable")
-        for size in range(2, min(k, LARGEST_SET) + 1):
-            among = np.zeros((len(docs), k))
-            np.put_along_axis(among, order[:, :size], 1, axis=1)
-            among *= full + 1e-12
-            share, total = _fit(likely, most, first, of, n, among / among.sum(1, keepdims=True))
-            total = total - (size - 1) * (PENALTY + 0.5 * np.log(n))
-            wins = total > value
-            shares[wins], value[wins] = share[wins], total[wins]
+        rising = rows  # texts whose set may still grow
+        for size in range(2, k + 1):
+            own = np.zeros(len(docs), bool)
+            own[rising] = True
+            use = own[of]
+            renamed = np.cumsum(own) - 1
+            of_own, n_own = renamed[of[use]], n[rising]
+            among = np.zeros((len(rising), k))
+            np.put_along_axis(among, order[rising, :size], 1, axis=1)
+            among *= full[rising] + 1e-12
+            share, total = _fit(likely[use], most[use], np.cumsum(n_own) - n_own, of_own, n_own, among / among.sum(1, keepdims=True))
+            total = total - (size - 1) * (PENALTY + 0.5 * np.log(n_own))
+            wins = total > value[rising]
+            rising, share, total = rising[wins], share[wins], total[wins]
+            if not len(rising):
+                break
+            shares[rising], value[rising] = share, total
     code = shares.argmax(1)
     top = shares[rows, code]
     return docs, code, np.clip(np.where(top >= 1, sure, top), 0, 1), shares
@@ -144,7 +160,7 @@ def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
 def _predict(model, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
-        for batch in small_batches(batches, "text", max(1 << 16, (8 << 20) // max(1, len(own.languages)))):
+        for batch in small_batches(batches, "text", max(1 << 14, (2 << 20) // max(1, len(own.languages)))):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             pred, score, chosen = [NONE] * len(texts), [0.0] * len(texts), [[]] * len(texts)
             for i, c, s, shares in zip(*infer(own, texts)):
@@ -156,7 +172,7 @@ def _predict(model, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 [*(batch.column(x) for x in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(chosen, pa.list_(pa.string()))], names=[*keep, *ADDED]
             )
 
-    return run
+    return lean(run)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

@@ -7,7 +7,8 @@ import numpy as np
 U = np.uint64
 #: Coordinates of a sketch, kept as 16 bits each; a band is four of the first ones, so its key is 64 bits.
 COORDINATES, ROWS, BANDS = 256, 4, 32
-SHINGLE = 4
+#: Texts are hashed in pieces of about so many bytes; powers are remembered up to twice that.
+PIECE = 1 << 19
 
 _rng = np.random.default_rng(20_240_501)
 _BYTES = _rng.integers(1, 1 << 63, 256, dtype="u8") * U(2) + U(1)
@@ -18,7 +19,7 @@ _FOLD = np.arange(256, dtype="u1")
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_powers = [np.ones(1, "u8"), np.ones(1, "u8")]
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,42 +30,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
+def power(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse up to n."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n + 1, base, "u8")
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
+    if n > 2 * PIECE:
+        return [_steps(base, n) for base in (_BASE, _INVERSE)]
+    if not _powers:
+        _powers.extend(_steps(base, 2 * PIECE) for base in (_BASE, _INVERSE))
     return _powers
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of a byte string (A-Z folded)."""
-    blank = _BLANK[raw]
-    edge = np.diff(blank.astype("i1"), prepend=1, append=1)
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _power(len(raw) + 1)
+def _steps(base: int, n: int) -> np.ndarray:
+    steps = np.full(n + 1, base, "u8")
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+def prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix polynomial hashes of a byte string, and powers of the inverse base that shift a difference to its start."""
+    up, down = power(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, "u8")
-    np.cumsum(_BYTES[_FOLD[raw]] * up[: len(raw)], out=sums[1:])
-    return mix((sums[last] - sums[first]) * down[first] + (last - first).astype("u8")), first
+    np.cumsum(_BYTES[raw] * up[: len(raw)], out=sums[1:])
+    return sums, down
+
+
+def _pieces(raw: np.ndarray) -> list[tuple[int, int]]:
+    """Cuts of a byte string at blanks, so that no word is split."""
+    out, at, n = [], 0, len(raw)
+    while at < n:
+        end = min(n, at + PIECE)
+        while end < n and not _BLANK[raw[end]]:
+            ahead = np.flatnonzero(_BLANK[raw[end : end + PIECE]])
+            end = end + int(ahead[0]) if len(ahead) else min(n, end + PIECE)
+        out.append((at, end))
+        at = end
+    return out
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The distinct shingle hashes of each text, ascending: four words each, or one of all words if fewer."""
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of a byte string (A-Z folded)."""
+    hashes, places = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
+    for a, b in _pieces(raw):
+        piece = raw[a:b]
+        edge = np.diff(_BLANK[piece].astype("i1"), prepend=1, append=1)
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums, down = prefix(_FOLD[piece])
+        hashes.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype("u8")))
+        places.append(first + a)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def shingle_sets(texts: list[str | None], size: int = 4) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending: size words each, or one of all words if fewer."""
     raw = [(x or "").encode() for x in texts]
     ends = np.cumsum([len(x) + 1 for x in raw])
     words, first = word_hashes(np.frombuffer(b" ".join(raw) + b" ", dtype="u1"))
     bounds = np.concatenate([[0], np.searchsorted(first, ends)])
-    n = max(0, len(words) - SHINGLE + 1)
+    n = max(0, len(words) - size + 1)
     total = np.zeros(n, "u8")
-    for k in range(SHINGLE):
+    for k in range(size):
         total += words[k : k + n] * _PLACES[k]
     full = mix(total)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a >= SHINGLE:
-            out.append(np.unique(full[a : b - SHINGLE + 1]))
+        if b - a >= size:
+            out.append(np.unique(full[a : b - size + 1]))
         elif b > a:
             out.append(mix((words[a:b] * _PLACES[: b - a]).sum(keepdims=True) + U(b - a)))
         else:

@@ -3,7 +3,8 @@
 File format. Rows are in ascending doc_id order over the part files, in file-name order. Columns:
 
 * ``doc_id`` long, ``part`` int, ``part_start`` long (ids of earlier rows of the part), ``n_tokens`` long:
-  metadata, delta encoded (writer version 2), readable without touching the ids;
+  metadata, readable without touching the ids. With writer version 2, ``doc_id`` and ``part_start``, which are all
+  different, are delta encoded; ``part`` and ``n_tokens``, which recur, keep the dictionary that the writer tries first;
 * ``ids`` list<int>: dictionary encoded, bit-packed to the width of the ids that occur.
 
 Row groups and pages are bounded, and Parquet page indexes let a reader skip to a doc_id range.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.chunks import PieceEncoder
-from millrace.llm.common import scratch, ship, small_batches
+from millrace.llm.common import lean, scratch, ship, small_batches
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 ROW_GROUP, PAGE, DICTIONARY = 32 << 20, 256 << 10, 1 << 20
@@ -86,18 +87,17 @@ def library_encoder(tokenizer_path: str) -> PieceEncoder:
 def _encode(tokenizer_path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, part = library_encoder(tokenizer_path), 0, TaskContext.get().partitionId()
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 2 << 20):
             ids, n = encoder.encode(batch.column("text"))
             own, n = np.cumsum(n), n + 1
             ends = np.cumsum(n)
             flat = np.insert(ids, own, end_id).astype("i4")
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(n), part, "i4")), pa.array(start + ends - n), pa.array(n), lists], names=["doc_id", "part", "part_start", "n_tokens", "ids"]
-            )
+            columns = [batch.column("doc_id"), pa.array(np.full(len(n), part, "i4")), pa.array(start + ends - n), pa.array(n), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "part_start", "n_tokens", "ids"])
             start += int(ends[-1])
 
-    return run
+    return lean(run)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
@@ -143,7 +143,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the files under path."""
     ship(spark)
-    rows = spark.read.schema(SCHEMA).parquet(path).mapInArrow(_digest, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(SCHEMA).parquet(path).mapInArrow(lean(_digest), "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
     starts = spark.read.schema(SCHEMA).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = starts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
