@@ -13,6 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Tokens end with this id in the token files (fixed value).
 END_ID = 2
+#: Words of a shingle in op5's contract.
+SHINGLE = 4
 
 
 def default_tokenizer() -> str:
@@ -44,7 +46,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.grouped(table(spark, sf_dir, "documents"))
+    return near_dedup.grouped(table(spark, sf_dir, "documents"), SHINGLE)
 
 
 def op6_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,22 +6,23 @@ smallest hash among those inside it (the leftmost on ties). So only suffixes at
 
 1. Each text gives its anchors: hash of the k-mer, and hash of the widest context that a string with
    this anchor can reach (68 bytes before it and LENGTH from its start on, cut at the text's ends).
-2. Anchors that occur once are dropped. Where a whole context occurs earlier, all of it is repeated.
+2. Anchors that occur once are dropped. Where a whole context occurs earlier, all of it is repeated: runs of
+   such contexts with one origin are a claim, whose bytes are held against the origin's by their SHA-256.
 3. The first places of contexts that share an anchor are sorted as suffixes: a mergesort that compares
    two suffixes by a binary search for their longest common prefix on prefix polynomial hashes. The
    common prefixes of neighbours are verified on the bytes, and running minima over them, with the
    common extensions to the left, give for each pair the longest string around the anchor that both
-   hold. If it has LENGTH bytes, the later place loses it.
-4. An anchor with more than MANY contexts is left out of the sort. Its contexts are compared with the
-   first of them, byte by byte; their other strings of LENGTH bytes are grouped by a 128-bit hash, in an
-   aggregate that starts on the map side.
+   hold. If it has LENGTH bytes, the later place loses it; spans of a document are merged at once.
+4. An anchor with more than MANY contexts is left out of the sort, which keeps groups bounded. Its contexts
+   are compared with the first of them, byte by byte; their other strings of LENGTH bytes are grouped by a
+   128-bit hash, in an aggregate that starts on the map side. The result is that of the sort.
 
 Texts are read whole, in segments with margins, so memory does not grow with a text.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows with a null doc_id
-lose nothing; rows that repeat a doc_id count as one place,
-so none of them is a copy of another;
-an empty table gives an empty one.
+lose nothing; equal rows of one doc_id are one document, so none of them is a copy of another, and are
+cut alike; rows of one doc_id with unlike texts are documents of their own, in the order of the texts'
+hashes; other columns pass where rows are kept whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,29 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import shingles
-from millrace.llm.common import drop_stored, ship, small_batches, stored
-from millrace.llm.shingles import mix
+from millrace.llm.common import NUMBER, Scratch, lean, merged, numbered, ship, small_batches, stored
+from millrace.llm.shingles import mix, prefix
 
 U = np.uint64
 LENGTH, KMER = 100, 32
 SPAN = LENGTH - KMER  # bytes of a string that may lie before its anchor
-SEGMENT, MARGIN = 1 << 20, 2 * LENGTH
+SEGMENT, MARGIN = 1 << 19, 2 * LENGTH
 MANY = 256
 _PLACE_BITS = 24
 
 
-def _prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix polynomial hashes, and powers of the inverse base that shift a difference to its start."""
-    up, down = shingles._power(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, "u8")
-    np.cumsum(shingles._BYTES[raw] * up[: len(raw)], out=sums[1:])
-    return sums, down
-
-
 def anchors(raw: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of segments raw[first:last], strings starting in [lo, hi): segment, place, k-mer hash and context hash of each anchor."""
-    sums, down = _prefix(raw)
+    sums, down = prefix(raw)
     n = len(raw) - KMER + 1
     kmer = mix((sums[KMER:] - sums[:n]) * down[:n])
     least = (kmer >> U(_PLACE_BITS) << U(_PLACE_BITS)) | np.arange(n, dtype="u8")
@@ -88,22 +80,22 @@ def _segments(raw: bytes) -> Iterator[tuple[int, int, int, int]]:
         yield max(0, a - MARGIN), min(n, b + MARGIN), a, b
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "pos", "kmer", "context"]
+def _anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Document, place, k-mer hash and context hash of the anchors of batches (number, text)."""
 
-    def flush(pieces: list[tuple[int, int, bytes, int, int]]) -> pa.RecordBatch:
+    def flush(pieces: list[tuple[int, int, bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(x[2]) for x in pieces])
         first = np.cumsum(sizes) - sizes
         raw = np.frombuffer(b"".join(x[2] for x in pieces), "u1")
         lo, hi = (first + np.array([x[k] for x in pieces]) for k in (3, 4))
         seg, at, kmer, context = anchors(raw, first, first, first + sizes, lo, hi)
         docs, base = np.array([x[0] for x in pieces], "i8"), np.array([x[1] for x in pieces], "i8")
-        return pa.RecordBatch.from_arrays([pa.array(docs[seg]), pa.array((base[seg] + at - first[seg]).astype("i4")), pa.array(kmer.view("i8")), pa.array(context.view("i8"))], names=names)
+        return docs[seg], (base[seg] + at - first[seg]).astype("i4"), kmer.view("i8"), context.view("i8")
 
     for batch in small_batches(batches, "text", SEGMENT):
         pieces, size = [], 0
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            raw = (text or "").encode()
+        for doc, text in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist()):
+            raw = text.encode()
             for a, b, lo, hi in _segments(raw):
                 pieces.append((doc, a, raw[a:b], lo - a, hi - a))
                 size += b - a
@@ -114,6 +106,55 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush(pieces)
 
 
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for found in _anchors_of(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["number", "pos", "kmer", "context"])
+
+
+def _kmer_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, kmer, _ in _anchors_of(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(kmer, return_counts=True)], names=["kmer", "n"])
+
+
+def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (number, origin, shift, pos) come sorted; runs of contexts that touch each other are one claim."""
+    names = ["number", "start", "stop", "origin", "shift"]
+
+    def claim(number: np.ndarray, origin: np.ndarray, shift: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+        start, stop = np.maximum(first - SPAN, 0).astype("i4"), (last + LENGTH).astype("i4")
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (number, start, stop, origin, shift)], names=names)
+
+    held: list[np.ndarray] = []  # the run that may go on: number, origin, shift, first, last
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number, origin, shift, pos = (batch.column(c).to_numpy().astype("i8") for c in ("number", "origin", "shift", "pos"))
+        first = pos
+        if held:
+            number, origin, shift, first, pos = (np.concatenate([a, b]) for a, b in zip(held, (number, origin, shift, first, pos)))
+        fresh = (number[1:] != number[:-1]) | (origin[1:] != origin[:-1]) | (shift[1:] != shift[:-1]) | (first[1:] - SPAN > pos[:-1] + LENGTH)
+        begin = np.concatenate([[0], np.flatnonzero(fresh) + 1])
+        end = np.concatenate([begin[1:], [len(pos)]]) - 1
+        runs = (number[begin], origin[begin], shift[begin], first[begin], pos[end])
+        if len(begin) > 1:
+            yield claim(*(x[:-1] for x in runs))
+        held = [x[-1:] for x in runs]
+    if held:
+        yield claim(*held)
+
+
+def _origin_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each range that a claim has in an origin's text."""
+    for batch in small_batches(batches, "text", 1 << 20):
+        rows = [
+            (number, x["start"], x["stop"], hashlib.sha256(raw[x["start"] : x["stop"]]).digest())
+            for number, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("number", "text", "ranges")))
+            for raw in (text.encode(),)
+            for x in ranges
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["origin", "from", "to", "digest"])
+
+
 def _common(sums: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Longest common prefix of the suffixes at a and b, at most `most`, by binary search on hashes."""
     low, high = np.zeros(len(a), "i8"), most.copy()
@@ -130,7 +171,7 @@ def suffix_sort(raw: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.
     Bottom-up mergesort: an element's place after a merge is its rank in its own run plus its rank, by
     binary search, in the sibling run; every comparison is logarithmic in the suffix.
     """
-    sums, down = _prefix(raw)
+    sums, down = prefix(raw)
     raw = np.concatenate([raw, np.zeros(1, "u1")])
     n = len(start)
     order = np.arange(n)
@@ -193,7 +234,7 @@ def _extensions(rows: list[tuple[int, int, int, bytes, int]]) -> tuple[np.ndarra
     doc, pos, left = (np.array([x[k] for x in rows], "i8") for k in (1, 2, 4))
     order, common = suffix_sort(raw, begin + left, sizes - left, group)
     backward = np.ascontiguousarray(raw[::-1])
-    sums, down = _prefix(backward)
+    sums, down = prefix(backward)
     out: list[list[np.ndarray]] = [[], [], []]
     near = common.copy()
     for lag in range(1, len(rows)):
@@ -213,10 +254,19 @@ def _extensions(rows: list[tuple[int, int, int, bytes, int]]) -> tuple[np.ndarra
     return tuple(np.concatenate(x) if x else np.zeros(0, "i8") for x in out)
 
 
-_SPANS = ["doc_id", "start", "stop"]
+_SPANS = ["number", "start", "stop"]
 
 
 def _span_batch(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """Spans of a document that overlap become one."""
+    if len(doc):
+        order = np.lexsort((start, doc))
+        doc, start, stop = doc[order], start[order], stop[order]
+        base = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) * (1 << 32)  # documents apart from each other
+        reach = np.maximum.accumulate(base + stop)
+        begin = np.concatenate([[0], np.flatnonzero(base[1:] + start[1:] > reach[:-1]) + 1])
+        end = np.concatenate([begin[1:], [len(doc)]]) - 1
+        doc, start, stop = doc[begin], start[begin], reach[end] - base[end]
     return pa.RecordBatch.from_arrays([pa.array(doc.astype("i8")), pa.array(start.astype("i4")), pa.array(stop.astype("i4"))], names=_SPANS)
 
 
@@ -224,7 +274,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Batches come sorted by k-mer; groups are handled whole, many at a time."""
     held: list[tuple[int, int, int, bytes, int]] = []
     for batch in batches:
-        held += zip(*(batch.column(c).to_pylist() for c in ("kmer", "doc_id", "pos", "bytes", "before")))
+        held += zip(*(batch.column(c).to_pylist() for c in ("kmer", "number", "pos", "bytes", "before")))
         if len(held) > 4096:
             cut = len(held)
             while cut and held[cut - 1][0] == held[-1][0]:
@@ -237,16 +287,16 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "text", 4 << 20):
+    for batch in small_batches(batches, "text", 1 << 20):
         rows = []
-        for doc, text, firsts in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("firsts").to_pylist()):
-            raw = text.encode() if firsts else b""
-            for x in firsts or ():
+        for doc, text, firsts in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist(), batch.column("firsts").to_pylist()):
+            raw = text.encode()
+            for x in firsts:
                 a = max(0, x["pos"] - SPAN)
                 rows.append((x["kmer"], doc, x["pos"], raw[a : x["pos"] + LENGTH], x["pos"] - a, x["many"]))
         if rows:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kmer", "doc_id", "pos", "bytes", "before", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kmer", "number", "pos", "bytes", "before", "many"])
 
 
 def _reach(x: bytes, y: bytes) -> int:
@@ -262,22 +312,22 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Every other string of LENGTH bytes comes with its 128-bit hash; if it occurs in another context, it
     is not in the first one there either, so it comes from both.
     """
-    names = ["h1", "h2", "doc_id", "start", "stop"]
+    names = ["h1", "h2", "number", "start", "stop"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
             part = batch.slice(lo, 2048)
             contexts, before, lead = (part.column(c).to_pylist() for c in ("bytes", "before", "lead"))
-            doc, pos = part.column("doc_id").to_numpy(), part.column("pos").to_numpy().astype("i8")
+            doc, pos = part.column("number").to_numpy(), part.column("pos").to_numpy().astype("i8")
             right = np.array([_reach(x[k:], y["bytes"][y["before"] :]) for x, k, y in zip(contexts, before, lead)], "i8")
             left = np.array([_reach(x[:k][::-1], y["bytes"][: y["before"]][::-1]) for x, k, y in zip(contexts, before, lead)], "i8")
-            other = np.array([(d, p) != (y["doc_id"], y["pos"]) for d, p, y in zip(doc.tolist(), pos.tolist(), lead)])
+            other = np.array([(d, p) != (y["number"], y["pos"]) for d, p, y in zip(doc.tolist(), pos.tolist(), lead)])
             met = np.flatnonzero(other & (left + right >= LENGTH))
             none = pa.nulls(len(met), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[met]), pa.array((pos - left)[met].astype("i4")), pa.array((pos + right)[met].astype("i4"))], names=names)
             sizes, before = np.array([len(x) for x in contexts]), np.array(before, "i8")
             begin = np.cumsum(sizes) - sizes
             raw = np.frombuffer(b"".join(contexts), "u1")
-            sums, down = _prefix(raw)
+            sums, down = prefix(raw)
             n = np.maximum(sizes - LENGTH + 1, 0)
             of = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
@@ -290,21 +340,22 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(mix(one).view("i8")), pa.array(mix(half ^ U(0x5851F42D4C957F2D)).view("i8")), pa.array(doc[of]), pa.array(start.astype("i4")), pa.array((start + LENGTH).astype("i4"))], names=names)
 
 
-#: doc_id and SHA-256 of the text tell which row was cut; they are unlike any column that a table may have.
-_CUT = ["_cut_id", "_cut_sha", "_n_removed", "_n_spans", "_kept"]
-_CUT_SCHEMA = "_cut_id long, _cut_sha string, _n_removed long, _n_spans long, _kept string"
+_CUT_SCHEMA = f"{NUMBER} long, _mr_removed long, _mr_spans long, _mr_kept string"
 
 
 def _cut(full: bool):
+    names = [x.split()[0] for x in _CUT_SCHEMA.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 1 << 20):
             out = []
-            for doc, text, whole, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "whole", "spans"))):
-                raw = np.frombuffer((text or "").encode(), "u1")
-                edge = np.zeros(len(raw) + 1, "i8")
-                for x in whole or ():  # all of a context that occurs earlier
-                    a, b = max(0, x - SPAN), min(len(raw), x + LENGTH)
-                    if b - a >= LENGTH:
+            for number, text, claims, spans in zip(*(batch.column(c).to_pylist() for c in ("number", "text", "claims", "spans"))):
+                data = text.encode()
+                raw = np.frombuffer(data, "u1")
+                edge = np.zeros(len(raw) + 1, "i4")
+                for x in claims or ():
+                    a, b = x["start"], min(len(raw), x["stop"])
+                    if hashlib.sha256(data[a:b]).digest() == x["digest"]:
                         edge[a] += 1
                         edge[b] -= 1
                 for x in spans or ():
@@ -312,59 +363,77 @@ def _cut(full: bool):
                     edge[x["stop"]] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
                 kept = raw[~gone].tobytes()
-                n = int(gone.sum())
                 tail = kept.decode(errors="ignore") if full else hashlib.sha256(kept).hexdigest()
-                out.append((doc, hashlib.sha256(raw.tobytes()).hexdigest(), n, int((np.diff(gone.astype("i1"), prepend=0) == 1).sum()), tail))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                out.append((number, int(gone.sum()), int((np.diff(gone.astype("i1"), prepend=0) == 1).sum()), tail))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_CUT)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return run
+    return lean(run)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, text, whole, spans of the documents that lose something (one row each; stored).
+def repeated(docs: DataFrame, full: bool) -> DataFrame:
+    """_mr_number, _mr_removed, _mr_spans, _mr_kept (the text that is left, or its SHA-256; stored) of the documents that lose something.
 
-    whole: anchors whose whole context occurs earlier; spans: ranges of bytes that occur earlier.
+    docs: number, text, each number once.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    found = stored(docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchor_rows, "doc_id long, pos int, kmer long, context long"), "anchors")
-    again = found.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1").select("kmer")
-    again = stored(again, "repeated-anchors")
-    met = stored(found.join(again, "kmer"), "met")
-    drop_stored(found)
-    first = stored(met.groupBy("kmer", "context").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n")), "contexts")
+    own = Scratch()
+    docs = docs.where(F.octet_length("text") >= LENGTH).where("number IS NOT NULL")
+    again = docs.mapInArrow(lean(_kmer_counts), "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n")).where("n > 1").select("kmer")
+    again = own.keep(again, "repeated-anchors")
+    found = docs.mapInArrow(lean(_anchor_rows), "number long, pos int, kmer long, context long")  # once more, which is cheaper than to keep all
+    met = own.keep(merged(found, again, ["kmer"]), "met")
+    own.drop(again)
+    first = own.keep(met.groupBy("kmer", "context").agg(F.min(F.struct("number", "pos")).alias("at"), F.count("*").alias("n")), "contexts")
     copies = first.where("n > 1").select("kmer", "context", "at")
-    whole = met.join(copies, ["kmer", "context"]).where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("pos") != F.col("at.pos"))).groupBy("doc_id").agg(F.collect_set("pos").alias("whole"))
+    same = merged(met, copies, ["kmer", "context"]).where((F.col("number") != F.col("at.number")) | (F.col("pos") != F.col("at.pos")))
+    same = same.select("number", F.col("at.number").alias("origin"), (F.col("at.pos") - F.col("pos")).alias("shift"), "pos")
+    claims = same.repartition("number").sortWithinPartitions("number", "origin", "shift", "pos").mapInArrow(lean(_claims), "number long, start int, stop int, origin long, shift long")
+    claims = claims.withColumn("from", (F.col("start") + F.col("shift")).cast("int")).withColumn("to", (F.col("stop") + F.col("shift")).cast("int"))
+    claims = own.keep(claims.drop("shift"), "claims")
+    own.drop(met)
+    ranges = claims.select(F.col("origin").alias("number"), F.struct(F.col("from").alias("start"), F.col("to").alias("stop")).alias("x")).groupBy("number").agg(F.collect_set("x").alias("ranges"))
     shared = first.groupBy("kmer").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    edges = first.select("kmer", "at").join(stored(shared, "shared"), "kmer").select(F.col("at.doc_id").alias("doc_id"), F.struct(F.col("at.pos").alias("pos"), "kmer", (F.col("contexts") > MANY).alias("many")).alias("x"))
-    firsts = edges.groupBy("doc_id").agg(F.collect_list("x").alias("firsts"))
-    asked = stored(whole.join(firsts, "doc_id", "full"), "asked")
-    one = docs.join(asked, "doc_id")
-    texts = stored(one, "texts")
-    drop_stored(met)
-    contexts = stored(texts.where("firsts IS NOT NULL").select("doc_id", "text", "firsts").mapInArrow(_contexts, "kmer long, doc_id long, pos int, bytes binary, before int, many boolean"), "edges")
-    spans = contexts.where("NOT many").drop("many").repartition("kmer").sortWithinPartitions("kmer", "doc_id", "pos").mapInArrow(_sorted_groups, "doc_id long, start int, stop int")
-    many = contexts.where("many").select("kmer", "doc_id", "pos", "bytes", "before")
-    leads = stored(many.groupBy("kmer").agg(F.min(F.struct("doc_id", "pos", "bytes", "before")).alias("lead")), "leads")
-    strings = many.join(leads, "kmer").mapInArrow(_strings, "h1 long, h2 long, doc_id long, start int, stop int")
-    strings = stored(strings.distinct(), "strings")
-    origin = stored(strings.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n"), "origins")
-    more = strings.join(origin, ["h1", "h2"]).where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start"))).select("doc_id", "start", "stop")
-    spans = spans.unionByName(strings.where("h1 IS NULL").select("doc_id", "start", "stop")).unionByName(more)
-    marked = stored(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    return texts.select("doc_id", "text", "whole").join(marked, "doc_id", "left").where("whole IS NOT NULL OR spans IS NOT NULL")
+    edges = merged(first.select("kmer", "at"), shared, ["kmer"]).select(F.col("at.number").alias("number"), F.struct(F.col("at.pos").alias("pos"), "kmer", (F.col("contexts") > MANY).alias("many")).alias("x"))
+    firsts = edges.groupBy("number").agg(F.collect_list("x").alias("firsts"))
+    asked = claims.select("number").distinct().withColumn("claimed", F.lit(True))
+    asked = own.keep(asked.join(firsts, "number", "full").join(ranges, "number", "full"), "asked")
+    own.drop(first)
+    texts = own.keep(merged(docs, asked, ["number"]), "texts")
+    own.drop(asked)
+    digests = own.keep(texts.where("ranges IS NOT NULL").select("number", "text", "ranges").mapInArrow(lean(_origin_digests), "origin long, from int, to int, digest binary"), "digests")
+    told = merged(claims, digests, ["origin", "from", "to"]).groupBy("number").agg(F.collect_list(F.struct("start", "stop", "digest")).alias("claims"))
+    contexts = texts.where("firsts IS NOT NULL").select("number", "text", "firsts").mapInArrow(lean(_contexts), "kmer long, number long, pos int, bytes binary, before int, many boolean")
+    contexts = own.keep(contexts, "edges")
+    spans = contexts.where("NOT many").drop("many").repartition("kmer").sortWithinPartitions("kmer", "number", "pos").mapInArrow(lean(_sorted_groups), "number long, start int, stop int")
+    many = contexts.where("many").select("kmer", "number", "pos", "bytes", "before")
+    leads = many.groupBy("kmer").agg(F.min(F.struct("number", "pos", "bytes", "before")).alias("lead"))
+    strings = merged(many, leads, ["kmer"]).mapInArrow(lean(_strings), "h1 long, h2 long, number long, start int, stop int")
+    strings = own.keep(strings.distinct(), "strings")
+    origin = strings.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("number", "start")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
+    more = merged(strings, origin, ["h1", "h2"]).where((F.col("number") != F.col("at.number")) | (F.col("start") != F.col("at.start"))).select("number", "start", "stop")
+    spans = spans.unionByName(strings.where("h1 IS NULL").select("number", "start", "stop")).unionByName(more)
+    marked = spans.groupBy("number").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    cut = merged(merged(texts.select("number", "text"), told, ["number"], "left"), marked, ["number"], "left").where("claims IS NOT NULL OR spans IS NOT NULL")
+    out = stored(cut.mapInArrow(_cut(full), _CUT_SCHEMA).where("_mr_removed > 0"), "cut")
+    own.drop()
+    return out
+
+
+def _documents(keyed: DataFrame, again: bool) -> DataFrame:
+    own = keyed.select(F.col(NUMBER).alias("number"), "text")
+    return own.dropDuplicates(["number"]) if again else own
 
 
 def removal(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    lost = stored(repeated(docs).mapInArrow(_cut(False), _CUT_SCHEMA), "cut").where("_n_removed > 0").distinct()
-    rows = ids.select("doc_id", size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
-    out = rows.join(lost, (F.col("doc_id") == F.col("_cut_id")) & (F.col("_sha") == F.col("_cut_sha")), "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("_n_removed", F.lit(0)).alias("n_removed"), F.coalesce("_n_spans", F.lit(0)).alias("n_spans"), F.coalesce("_kept", "_sha").alias("kept_sha256"))
+    keyed, again = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    lost = repeated(_documents(keyed, again), False)
+    text = F.coalesce("text", F.lit(""))
+    rows = keyed.select("doc_id", NUMBER, F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    out = merged(rows, lost, [NUMBER], "left")
+    return out.select("doc_id", "n_bytes", F.coalesce("_mr_removed", F.lit(0)).alias("n_removed"), F.coalesce("_mr_spans", F.lit(0)).alias("n_spans"), F.coalesce("_mr_kept", "sha").alias("kept_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -372,11 +441,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Characters that lose a byte go; a document of which nothing is left goes too.
     """
-    cut = stored(repeated(docs).mapInArrow(_cut(True), _CUT_SCHEMA), "cut").where("_n_removed > 0")
-    one = cut.groupBy("_cut_id", "_cut_sha").agg(F.first("_kept").alias("_kept"))  # repeated rows are cut alike
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    out = docs.withColumn("_sha", sha).join(one, (F.col("doc_id") == F.col("_cut_id")) & (F.col("_sha") == F.col("_cut_sha")), "left")
-    new = {"text": F.coalesce("_kept", "text")}
+    keyed, again = numbered(docs)
+    out = merged(keyed, repeated(_documents(keyed, again), True), [NUMBER], "left")
+    new = {"text": F.coalesce("_mr_kept", "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-    return out.where("_kept IS NULL OR _kept != ''").withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("_mr_kept").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return out.where("_mr_kept IS NULL OR _mr_kept != ''").withColumns(new).select(*docs.columns)

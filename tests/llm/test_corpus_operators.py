@@ -61,16 +61,76 @@ def near_rows(seed, families=12, copies=8):
     return rows
 
 
-def test_groups_equal_brute_force(spark):
-    rows = [(i, x if x is None else "".join(c if c.isascii() else c for c in x)) for i, x in near_rows(1)]
-    rows = [(i, x) for i, x in rows if not x or x.isascii() or not x.isupper()]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.grouped(table(spark, rows)).collect()}
+def check_groups(spark, rows):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.grouped(table(spark, rows), 4).collect()}
     assert got == brute_groups(rows)
-    kept = near_dedup.deduplicated(table(spark, rows))
+    return got
+
+
+def test_groups_equal_brute_force(spark):
+    rows = near_rows(1)
+    got = check_groups(spark, rows)
+    kept = near_dedup.deduplicated(table(spark, rows), 4)
     assert kept.columns == ["doc_id", "text", "kept", "component_id", "rate", "sketch"]
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in got.values()}
 
 
+def test_only_letters_of_ascii_are_folded(spark):
+    check_groups(spark, [(1, "ÄRGER über A B C D"), (2, "ärger über a b c d"), (3, "ÄRGER über a b c D"), (4, "ÄRGER ÜBER A B C D")])
+
+
+def tight_family(seed, size, base, of=12, most=4):
+    """Texts of few words, of which some are exchanged: many pairs are at, just above and just below the threshold."""
+    r = random.Random(seed)
+    out = []
+    for i in range(size):
+        w = [f"f{seed}w{k}" for k in range(of)]
+        for k in r.sample(range(of), r.randint(0, most)):
+            w[k] = f"x{r.randint(0, 5)}"
+        out.append((base + i, " ".join(w)))
+    return out
+
+
+def test_pairs_at_the_threshold(spark):
+    """8 of 10 shingles are shared by 0 and 1, 9 of 12 by 0 and 2."""
+    words = [f"w{k}" for k in range(12)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:11], "z"])), (2, " ".join([*words, "y", "y", "y"])), (3, " ".join(words[:11]))]
+    a, b = ({tuple(x.split()[i : i + 4]) for i in range(len(x.split()) - 3)} for _, x in rows[:2])
+    assert 100 * len(a & b) == 80 * len(a | b)
+    check_groups(spark, rows)
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_families_in_cells(spark, monkeypatch, block):
+    """Families whose components meet in buckets, in one cell and dealt over many."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "GROUP", block)
+    check_groups(spark, [x for k in range(4) for x in tight_family(k, 40, 100 * k, of=20 + 10 * k, most=5)])
+
+
+def test_more_rows_than_a_block(spark):
+    rows = tight_family(9, 1300, 0, of=16, most=6) + tight_family(10, 300, 5000, of=40, most=9)
+    got = check_groups(spark, rows)
+    assert len({c for _, c in got.values()}) > 50
+
+
+def test_cells_meet_every_pair(spark, monkeypatch):
+    """Every pair of a family that is not in its largest component together is in exactly one cell, on two sides or alone."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    rows = [(i, 0 if i < 7 else i, 0, 5) for i in range(18)] + [(100, 100, 100, 5), (101, 101, 100, 5)]
+    met = {}
+    cells = {}
+    for x in near_dedup.dealt(spark.createDataFrame(rows, "node long, component long, family long, n_shingles long")).collect():
+        cells.setdefault((x["family"], x["i"], x["j"]), []).append((x["node"], x["side"]))
+    for (_, i, j), own in cells.items():
+        for a, s in own:
+            for b, t in own:
+                if a < b and (j == -1 - i or s != t):
+                    met[a, b] = met.get((a, b), 0) + 1
+    want = {(a, b) for a, c, f, _ in rows for b, d, g, _ in rows if a < b and f == g and not (c == d == 0)}
+    assert want <= set(met) and all(met[p] == 1 for p in want)
+
+
 def test_chain_of_links(spark):
     """Neighbours link, the ends do not: the component spans them, though no bucket holds all of them."""
     r = random.Random(9)
@@ -92,13 +152,17 @@ def test_link_behind_likelier_partners(spark, agree):
     marks[:6, 128:153], marks[6, 128 : 353 - agree] = 1, 2
     assert [int((marks[7] == m).sum()) for m in marks[:7]] == [200] * 6 + [agree]
     reps = spark.createDataFrame([(i, 97, bytearray(m.tobytes())) for i, m in enumerate(marks)], "node long, n_shingles long, sketch binary")
-    found = near_dedup.linked_classes(reps, table(spark, list(enumerate(texts)))).collect()
+    found = near_dedup.linked_classes(reps, spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 4).collect()
     assert {(x["node"], x["component"]) for x in found} == {(i, 0) for i in range(1, 8)}
 
 
 def test_repeated_rows_and_no_rows(spark):
-    got = near_dedup.grouped(table(spark, [(5, "a b c d e"), (5, "a b c d e"), (2, "A b c d e"), (None, "a b c d e")])).collect()
-    assert sorted((x["doc_id"] or -1, x["component_id"] or -1, x["kept"]) for x in got)[1:] == [(2, 2, True), (5, 2, False), (5, 2, False)]
+    docs = table(spark, [(5, "a b c d e"), (5, "a b c d e"), (5, "unlike the other text of this id"), (2, "A b c d e"), (None, "a b c d e"), (None, "a b c d e"), (7, None), (7, "")])
+    got = near_dedup.grouped(docs).collect()
+    nil = lambda x: -1 if x is None else x
+    want = [(-1, -1, True)] * 2 + [(2, 2, True), (5, 2, False), (5, 2, False), (5, 5, True), (7, 7, True), (7, 7, True)]
+    assert sorted((nil(x["doc_id"]), nil(x["component_id"]), x["kept"]) for x in got) == want
+    assert sorted((nil(x["doc_id"]), x["text"] or "") for x in near_dedup.deduplicated(docs).collect()) == [(-1, "a b c d e")] * 2 + [(2, "A b c d e"), (5, "unlike the other text of this id"), (7, ""), (7, "")]
     assert near_dedup.grouped(table(spark, [(0, "x")]).limit(0)).count() == 0
     assert near_dedup.deduplicated(table(spark, [(0, "x")]).limit(0)).count() == 0
 
@@ -180,6 +244,33 @@ def test_cut_texts(spark):
     assert suffix_dedup.removal(docs.limit(0)).count() == 0 and suffix_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_unlike_texts(spark):
+    """Rows of one doc_id with unlike texts are documents of their own, in the order of the texts' hashes."""
+    r = random.Random(8)
+    p, a, b, c = (" ".join(words(r, n)) for n in (80, 30, 20, 25))
+    rows = [(0, a + p), (1, b + p + c), (1, "short"), (1, "short"), (2, p), (3, p + a), (3, p + b), (None, p)]
+    docs = table(spark, rows)
+    order = {(x["doc_id"], x["text"]): k for k, x in enumerate(docs.where("doc_id IS NOT NULL").select("doc_id", "text").distinct().orderBy("doc_id", F.xxhash64("text")).collect())}
+    want = brute_removal([(k, t) for (_, t), k in order.items()])
+    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.removal(docs).where("doc_id IS NOT NULL").collect())
+    assert got == sorted((i, *want[order[i, t]]) for i, t in rows if i is not None)
+    assert len([1 for x in suffix_dedup.deduplicated(docs).collect() if x["doc_id"] == 1]) == 3
+
+
+def test_claims_go_on_over_batches():
+    rows = [(1, 0, 5, 10), (1, 0, 5, 100), (1, 0, 5, 400), (1, 2, 5, 420), (2, 2, 5, 430), (2, 2, 5, 500)]
+    want = [(1, 0, 200, 0, 5), (1, 332, 500, 0, 5), (1, 352, 520, 2, 5), (2, 362, 600, 2, 5)]
+    for cut in range(len(rows) + 1):
+        parts = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*own)], names=["number", "origin", "shift", "pos"]) for own in (rows[:cut], rows[cut:]) if own]
+        got = [tuple(x.values()) for b in suffix_dedup._claims(iter(parts)) for x in b.to_pylist()]
+        assert got == want
+
+
+def test_spans_are_merged():
+    own = suffix_dedup._span_batch(np.array([2, 1, 1, 1, 2]), np.array([5, 0, 50, 300, 0]), np.array([200, 100, 150, 400, 100])).to_pylist()
+    assert own == [{"number": 1, "start": 0, "stop": 150}, {"number": 1, "start": 300, "stop": 400}, {"number": 2, "start": 0, "stop": 200}]
+
+
 def test_suffix_sort():
     r = random.Random(6)
     text = "".join(r.choice("ab") for _ in range(400)).encode()
