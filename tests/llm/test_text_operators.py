@@ -62,6 +62,56 @@ def test_comment_that_nothing_closes():
     assert html_extract.main_text("<p>before</p><!-- a > b <p>never shown</p>") == "before"
 
 
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        ('<div class="share of voters">The share rose.</div>', True), ('<p class="search">We went on a search for it.</p>', True), ('<ul class="social-reforms"><li>One reform</li></ul>', True),
+        ('<div class="ad-hoc committee">It met twice.</div>', True), ('<p class="alert"><a href="/x">more</a></p>', False), ('<div class="advert">Buy this now, buy it today.</div>', False),
+        ('<div id="post-comments"><p>A reader wrote this long comment about it.</p></div>', False), ('<article class="comment"><p>A reader wrote this.</p></article>', False),
+        ('<div class="share-buttons"><a href="/f">F</a> <a href="/t">T</a></div>', False), ('<div class="sidebarLeft">Other things</div>', False),
+    ],
+)
+def test_words_of_classes(inside, kept):
+    """A class decides on a container only if most of its words say so."""
+    import re
+
+    page = f"<body><article><p>{'The first paragraph. ' * 9}</p>{inside}<p>{'The last paragraph. ' * 9}</p></article></body>"
+    lines = html_extract.main_text(page).split("\n")
+    text = " ".join(re.sub("<[^>]*>", "", inside).split())
+    assert (text in lines) == kept and len(lines) == 2 + kept
+
+
+def test_marks_around_an_article():
+    """A marked container that holds the article, or most of the content, stays."""
+    words = "word " * 60
+    assert html_extract.main_text(f'<div class="widget"><div class="ad">Buy now</div><article><p>{words}</p></article></div>') == words.strip()
+    assert html_extract.main_text(f'<div class="widget"><p>{words}</p><p>{words}</p></div><div class="cookie-notice">We use cookies.</div>') == f"{words}\n{words.strip()}".replace(" \n", "\n")
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    began = time.process_time()
+    assert html_extract.main_text("<article>" + "<div>ab " * 100_000).count("\n") == 99_999
+    assert html_extract.main_text("<div>" * 50_000 + "text" + "</p></b>" * 50_000) == "text"
+    assert time.process_time() - began < 5
+
+
+def test_ratios_smoothing_and_clusters_equal_brute_force():
+    import math
+
+    r = random.Random(2)
+    for n in (1, 2, 3, 7, 40):
+        chars, tags = [r.randint(1, 300) for _ in range(n)], [r.randint(1, 9) for _ in range(n)]
+        ratios = []
+        for i in range(n):
+            near = [(math.exp(-((i - j) ** 2) / 2), chars[j] / tags[j]) for j in range(n) if abs(i - j) <= 2]
+            ratios.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        mean = math.fsum(ratios) / n
+        limit = min(mean, math.sqrt(math.fsum((x - mean) ** 2 for x in ratios) / n))
+        assert all(abs(x - limit) < 1e-9 or (x >= limit) == c for x, c in zip(ratios, html_extract.clusters(chars, tags)))
+
+
 def test_flat_page_without_article():
     words = "word " * 40
     page = f"<body><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><div class=wrap><div class=content><h2>Head</h2><p>{words}</p><p>{words}</p><p>end</p></div><div class=sidebar><p>side text</p></div></div></body>"
