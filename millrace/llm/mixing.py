@@ -9,7 +9,8 @@ dealt out by a hash and sorted by it inside each partition, which shuffles them
 Defined results: a null source is a source of its own; a null doc_id hashes as the word null; rows
 that repeat a doc_id get the same count each; a source with weight zero or without a weight is left
 out; null and empty texts are repeated like others; an empty table gives an empty one. All columns
-pass; copy, n_copies, rate and shuffle_key are added, and replace columns of those names.
+pass; copy, n_copies, rate and shuffle_key are added, and replace columns of those names. Names that begin
+with _mr_ are the library's own.
 """
 
 from __future__ import annotations
@@ -62,19 +63,19 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, power:
     """Every copy of every document, before the shuffle."""
     docs = docs.drop(*ADDED)
     table = stored(rates(docs, weights, power, size), "rates")
-    own = table.select(F.col("source").alias("_of"), "rate", "draws", "cdf")
+    own = table.select(F.col("source").alias("_mr_of"), F.struct("rate", "draws", "cdf").alias("_mr_rate"))
     if table.count() <= BROADCAST_SOURCES:
-        rows = docs.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("_of")))
+        rows = docs.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("_mr_of")))
     else:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        own = own.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = salted.join(own, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_salt") == F.col("_part"))).drop("_salt", "_part")
+        salted = docs.withColumn("_mr_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        own = own.withColumn("_mr_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = salted.join(own, F.col("source").eqNullSafe(F.col("_mr_of")) & (F.col("_mr_salt") == F.col("_mr_part"))).drop("_mr_salt", "_mr_part")
     below = F.transform(
-        F.sequence(F.lit(0), F.col("draws") - 1),
-        lambda k: F.transform(F.array(uniform(seed, F.col("doc_id"), k)), lambda u: F.size(F.filter("cdf", lambda c: c <= u)))[0],
+        F.sequence(F.lit(0), F.col("_mr_rate.draws") - 1),
+        lambda k: F.transform(F.array(uniform(seed, F.col("doc_id"), k)), lambda u: F.size(F.filter("_mr_rate.cdf", lambda c: c <= u)))[0],
     )
-    rows = rows.withColumn("n_copies", F.aggregate(below, F.lit(0), lambda a, b: a + b)).where("n_copies > 0")
-    return rows.drop("_of", "draws", "cdf").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    rows = rows.withColumn("n_copies", F.aggregate(below, F.lit(0), lambda a, b: a + b)).where("n_copies > 0").withColumn("rate", F.col("_mr_rate.rate"))
+    return rows.drop("_mr_of", "_mr_rate").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, size: float | None = None, seed: int = 0) -> DataFrame:
