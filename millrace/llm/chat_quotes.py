@@ -5,13 +5,15 @@ passages. A passage, and each of its lines, is normalised (lower case, runs of w
 space) and hashed; every message's own text, paragraphs and lines are hashed alike. Joining the two
 on conversation and hash finds the earliest message that holds the passage; a reply's parent is the
 source of its outermost quotes (lowest level), of the longest match, the latest turn on ties. Replies
-follow parents up to a message that quotes nothing known, their thread, by pointer doubling. Sorting
-by (conv_id, thread_turn, depth, turn) puts every message after the one it answers, and messages of a
-conversation without quotes in turn order.
+follow parents up to a message that quotes nothing known, their thread, by pointer doubling. Position
+is a message's place in its conversation by (thread_turn, depth, turn): every message is after the one
+it answers, and those of a conversation without quotes are in turn order. Places come from a range
+exchange of all messages, so no conversation, however long, has to fit a task.
 
 Defined results: a null or empty text has no lines and an empty own text; rows with a null conv_id or
-turn are kept, never linked, and are their own thread; rows that repeat a conversation and turn are
-all kept and share that turn's links; a quote of the same or a later turn is no link; an empty table
+turn are kept, never linked, and are their own thread; rows with a null conv_id are placed like those of
+one conversation; rows that repeat a conversation and turn are all kept, share that turn's links and follow
+each other by their texts and roles; a quote of the same or a later turn is no link; an empty table
 gives an empty one; other columns pass, and columns named like added ones are replaced.
 """
 
@@ -20,17 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let, stored
+from millrace.llm.common import WORD_BREAK, let, merged, stored
+from millrace.operators.positions import with_positions
 
 #: The quote marks before a line's text, each with at most one space behind.
 MARKS = r"^[ \t]{0,3}((?:>[ \t]?)+)"
 #: The line that mail programs put above a quotation.
-ATTRIBUTION = r"(?i)^\s*(on .{1,200} wrote|am .{1,200} schrieb.{0,80}|le .{1,200} a écrit|el .{1,200} escribió)\s*:\s*$"
-ADDED = ("parent_turn", "thread_turn", "depth", "n_quoted_lines", "reply_text")
+ATTRIBUTION = r"(?i)^[ \t]*(on .{1,200} wrote|am .{1,200} schrieb.{0,80}|le .{1,200} a écrit|el .{1,200} escribió)[ \t]*:[ \t]*$"
+#: What ends a paragraph.
+GAP = r"\n[\x20\x09-\x0D]*\n"
+ADDED = ("parent_turn", "thread_turn", "depth", "n_quoted_lines", "reply_text", "position")
 
 
 def normal(text: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(text, r"\s+", " ")))
+    return F.trim(F.lower(F.regexp_replace(text, WORD_BREAK, " ")))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def _runs(lines: Column) -> Column:
 def _units(bodies: Column) -> Column:
     """Distinct normalised strings to hash: the whole, its paragraphs and its lines."""
     whole = F.array_join(bodies, "\n")
-    parts = F.concat(F.array(whole), F.split(whole, r"\n\s*\n"), bodies)
+    parts = F.concat(F.array(whole), F.split(whole, GAP), bodies)
     return F.array_distinct(F.filter(F.transform(parts, normal), lambda x: x != ""))
 
 
@@ -80,8 +85,6 @@ def links(rows: DataFrame) -> DataFrame:
     passages = quoting.select("conv_id", "turn", F.explode(_runs(F.col("_lines"))).alias("r")).select("conv_id", "turn", F.col("r.level").alias("level"), F.explode(_units(F.col("r.bodies"))).alias("unit"))
     quotes = passages.select("conv_id", "turn", "level", F.sha2("unit", 256).alias("hash"), F.length("unit").alias("chars"))
     quotes = stored(quotes.distinct(), "quotes")
-    if quotes.isEmpty():
-        return quotes.select("conv_id", "turn", F.col("turn").alias("parent_turn"))
     talks = quotes.select("conv_id").distinct()
     sources = keyed.join(talks, "conv_id", "left_semi")
     units = sources.select("conv_id", "turn", F.explode(_units(_own(F.col("_lines")))).alias("unit"))
@@ -103,7 +106,7 @@ def threads(found: DataFrame) -> DataFrame:
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
-    """Every message with reply_text (its text without quotes), parent_turn, thread_turn, depth, n_quoted_lines."""
+    """Every message with reply_text (its text without quotes), parent_turn, thread_turn, depth, n_quoted_lines, position."""
     rows = parsed(messages)
     placed = threads(links(rows))
     out = rows.select(
@@ -112,4 +115,38 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
         F.trim(F.array_join(_own(F.col("_lines")), "\n")).alias("reply_text"),
     )
     out = out.join(placed, ["conv_id", "turn"], "left")
-    return out.withColumn("thread_turn", F.coalesce("thread_turn", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
+    out = out.withColumn("thread_turn", F.coalesce("thread_turn", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
+    out = with_positions(out, "conv_id", "thread_turn", "depth", "turn", F.md5("text"), F.md5("role"), name="_mr_at")
+    begin = stored(out.groupBy(F.col("conv_id").alias("_mr_conv")).agg(F.min("_mr_at").alias("_mr_begin")), "conversations")
+    out = out.join(begin, F.col("conv_id").eqNullSafe(F.col("_mr_conv"))).withColumn("position", F.col("_mr_at") - F.col("_mr_begin"))
+    return out.select(*[c for c in messages.columns if c not in ADDED], *ADDED)
+
+
+_LINE = f"regexp_extract(line, '{MARKS}', 1)"
+_NORMAL = f"trim(lower(regexp_replace({{}}, '{WORD_BREAK}', ' ', 'g')))"
+_UNITS = f"""SELECT {{keys}}, {_NORMAL.format("unnest(list_concat([whole], string_split_regex(whole, '" + GAP + "'), bodies))")} AS unit"""
+SQL = f"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, text FROM conversations),
+l AS (SELECT id, conv_id, turn, i, length(replace(replace({_LINE}, ' ', ''), chr(9), '')) AS level, regexp_replace(line, '{MARKS}', '') AS body
+      FROM (SELECT id, conv_id, turn, unnest(x) AS line, unnest(range(len(x))) AS i
+            FROM (SELECT *, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS x FROM m WHERE text <> ''))),
+w AS (SELECT *, lead(level) OVER o AS next, sum(CASE WHEN level = before THEN 0 ELSE 1 END) OVER (o ROWS UNBOUNDED PRECEDING) AS run
+      FROM (SELECT *, lag(level) OVER (PARTITION BY id ORDER BY i) AS before FROM l) WINDOW o AS (PARTITION BY id ORDER BY i)),
+own AS (SELECT id, conv_id, turn, list(body ORDER BY i) AS bodies, string_agg(body, chr(10) ORDER BY i) AS whole
+        FROM w WHERE level = 0 AND NOT (coalesce(next, 0) > 0 AND regexp_matches(body, '{ATTRIBUTION}')) GROUP BY ALL),
+quoted AS (SELECT id, run, conv_id, turn, level, list(body ORDER BY i) AS bodies, string_agg(body, chr(10) ORDER BY i) AS whole FROM w WHERE level > 0 GROUP BY ALL),
+sources AS (SELECT conv_id, unit, min(turn) AS parent FROM ({_UNITS.format(keys="conv_id, turn")} FROM own) WHERE unit <> '' AND turn IS NOT NULL GROUP BY ALL),
+quotes AS (SELECT DISTINCT conv_id, turn, level, unit FROM ({_UNITS.format(keys="conv_id, turn, level")} FROM quoted) WHERE unit <> ''),
+links AS (SELECT conv_id, turn, arg_max(parent, (-level, length(unit), parent)) AS parent FROM quotes JOIN sources USING (conv_id, unit) WHERE parent < turn GROUP BY ALL),
+climb AS (SELECT conv_id, turn, parent AS top, 1 AS depth FROM links
+          UNION ALL SELECT c.conv_id, c.turn, k.parent, depth + 1 FROM climb c JOIN links k ON c.conv_id = k.conv_id AND c.top = k.turn),
+threads AS (SELECT conv_id, turn, arg_max(top, depth) AS thread_turn, max(depth) AS depth FROM climb GROUP BY ALL),
+n AS (SELECT id, count(*) AS n FROM l WHERE level > 0 GROUP BY id),
+r AS (SELECT m.conv_id, m.turn, role, text, links.parent AS parent_turn, coalesce(threads.thread_turn, m.turn) AS thread_turn, coalesce(threads.depth, 0) AS depth,
+             coalesce(n.n, 0) AS n_quoted_lines, trim(coalesce(own.whole, '')) AS reply_text
+      FROM m LEFT JOIN n USING (id) LEFT JOIN own USING (id)
+      LEFT JOIN links ON m.conv_id = links.conv_id AND m.turn = links.turn LEFT JOIN threads ON m.conv_id = threads.conv_id AND m.turn = threads.turn)
+SELECT conv_id, turn, role, parent_turn, thread_turn, CAST(depth AS INTEGER) AS depth, CAST(n_quoted_lines AS INTEGER) AS n_quoted_lines, reply_text,
+       row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn NULLS FIRST, depth, turn NULLS FIRST, md5(text) NULLS FIRST, md5(role) NULLS FIRST) - 1 AS position
+FROM r
+"""

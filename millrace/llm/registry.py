@@ -77,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op4_mixing": mixing.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op4_mixing": mixing.SQL, "op6_chat_quotes": chat_quotes.SQL}
