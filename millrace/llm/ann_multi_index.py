@@ -1,20 +1,23 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 The two halves of every vector are quantised separately; a cell is a pair of centroids. Codebooks are
-fitted on SAMPLE rows at most, chosen by a hash; every row is indexed. A query scores the centroids
-of each half, walks the pairs in order of their summed score with a heap, and stops when the cells it
-has passed hold PROBE_SHARE of the rows. What lies in those cells is scored exactly.
+fitted on SAMPLE rows at most, chosen by a hash, and grow with the rows up to CENTROIDS a half; every row is
+indexed. A query scores the centroids of each half and walks tiles of their pairs (single pairs up to SIDE
+centroids) in order of the best summed score with a heap, until the cells it has passed hold PROBE_SHARE of
+the different vectors, and at least k + 1 different vec_ids. What lies in those cells is scored exactly.
 
 Cells are packed into blocks of BLOCK_ROWS rows at most (a larger cell is dealt over several blocks
 by a hash of vec_id), and the queries of a block into groups of BLOCK_QUERIES, so a task holds one
-block and one group of queries. Rows equal in vec_id and vector are merged before they are indexed.
-Equal vectors of a block are scored once, and only as many of their ids as can be among the k nearest
-go on, which is exact. Each block returns k vec_ids for a query, of their best scores there.
+block and one group of queries; a query goes to the blocks of its cells, with a bit for each cell. Rows
+equal in vec_id and vector are merged before they are indexed. Equal vectors of a block are scored once,
+and only as many of their ids as can be among the k nearest go on, which is exact. Each block returns
+k vec_ids for a query, of their best scores there.
 
 Defined results: a vector that is null, zero, or has a null or non-finite component, or another
 length than most vectors have, takes no part; so does a null vec_id. A query's own vec_id is no
-candidate, in whichever row; ties go to the smaller vec_id; rows that repeat a vec_id are one
-candidate, of their best score; an empty table gives no rows; other columns are ignored.
+candidate, in whichever row; a query vec_id with several vectors asks with the smallest of them, by
+components in order; ties go to the smaller vec_id; rows that repeat a vec_id are one candidate, of their
+best score; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ship, stored
+from millrace.llm.common import Scratch, lean, ship
+from millrace.llm.shingles import mix
 
-#: Bound of the rows that codebooks are fitted on, centroids of each half, rounds of fitting.
-SAMPLE, CENTROIDS, ROUNDS = 20_000, 64, 10
-#: Recall at 20 on vectors without structure, the hardest case, is about 0.96 at this share.
-PROBE_SHARE = 0.6
-BLOCK_ROWS, BLOCK_QUERIES = 4_096, 8_192
+#: Bound of the rows that codebooks are fitted on, most centroids of each half, rounds of fitting.
+SAMPLE, CENTROIDS, ROUNDS = 20_000, 1024, 10
+#: Recall at 20 on vectors without structure, the hardest case, is above 0.9 at this share.
+PROBE_SHARE = 0.2
+#: Tiles of a side of the grid of centroid pairs, at most.
+SIDE = 64
+BLOCK_ROWS, BLOCK_QUERIES, QUERIES_A_TASK = 4_096, 8_192, 128
 
 
 @dataclass
@@ -64,12 +71,11 @@ def _centroids(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(vectors: DataFrame, centroids: int = CENTROIDS) -> Codebooks | None:
     """Codebooks from the SAMPLE rows of smallest hash; None without rows."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
-    if not rows:
+    x = _matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks())
+    if not len(x):
         return None
-    x = np.array([r[0] for r in rows], dtype="f8")
     cut = x.shape[1] // 2
-    k = max(1, min(centroids, len(x) // 4))
+    k = max(1, min(centroids, 2 * len(x) // 3))
     return Codebooks((_centroids(x[:, :cut], k), _centroids(x[:, cut:], k)))
 
 
@@ -88,56 +94,112 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).astype("f8").reshape(len(column), -1)
 
 
-def _with_cell(books: Codebooks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _with_cell(books: Codebooks) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 cells = books.cells(_matrix(b.column("embedding")))
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(cells.astype("i4"))], names=["vec_id", "embedding", "cell"])
 
-    return run
+    return lean(run)
 
 
-def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: float) -> list[int]:
-    """Cells in order of their summed score until those passed hold the wanted rows (a heap of pairs)."""
+def walk(first: np.ndarray, second: np.ndarray, kinds: np.ndarray, rows: np.ndarray, wanted: float, least: int = 0) -> np.ndarray:
+    """Occupied cells in tiles of pairs, by their best summed score (a heap), until they hold the wanted kinds and least rows."""
     a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    x, y = (-first[a]).tolist(), (-second[b]).tolist()
-    width, rows, out, passed = len(second), counts[a][:, b].tolist(), [], 0
-    heap, reached = [(x[0] + y[0], 0, 0)], [0] * len(x)
-    while heap and passed < wanted:
+    step = -(-max(len(a), len(b)) // SIDE)
+    at, bt = np.arange(0, len(a), step), np.arange(0, len(b), step)
+    x, y = (-first[a[at]]).tolist(), (-second[b[bt]]).tolist()
+    placed = kinds[np.ix_(a, b)]
+    tiles = lambda m: np.add.reduceat(np.add.reduceat(m, at, axis=0), bt, axis=1).tolist()
+    of_kinds = tiles(placed)
+    of_rows = of_kinds if rows is kinds else tiles(rows[np.ix_(a, b)])
+    taken = np.zeros((len(at), len(bt)), bool)
+    heap, reached, passed, held = [(x[0] + y[0], 0, 0)], [0] * len(x), 0, 0
+    while heap and (passed < wanted or held < least):
         _, i, j = heapq.heappop(heap)
-        if rows[i][j]:
-            passed += rows[i][j]
-            out.append(int(a[i]) * width + int(b[j]))
+        taken[i, j] = True
+        passed += of_kinds[i][j]
+        held += of_rows[i][j]
         reached[i] = j + 1
-        if j + 1 < width and (i == 0 or reached[i - 1] > j + 1):
+        if j + 1 < len(y) and (i == 0 or reached[i - 1] > j + 1):
             heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
         if i + 1 < len(x) and reached[i + 1] == j:
             heapq.heappush(heap, (x[i + 1] + y[j], i + 1, j))
-    return out
+    grid = np.repeat(np.repeat(taken, step, axis=0)[: len(a)], step, axis=1)[:, : len(b)]
+    r, c = np.nonzero(grid & (placed > 0))
+    return a[r] * len(b) + b[c]
 
 
-def _probes(books: Codebooks, counts: np.ndarray, blocks: dict[int, tuple[int, int]], wanted: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+@dataclass
+class Layout:
+    """Where cells lie: rows and different vectors of each, first block, number of blocks, place among a block's cells."""
+
+    kinds: np.ndarray
+    rows: np.ndarray
+    start: np.ndarray
+    parts: np.ndarray
+    local: np.ndarray
+    cells: np.ndarray  # of each block
+
+    @classmethod
+    def of(cls, rows: np.ndarray, kinds: np.ndarray) -> Layout:
+        start, parts, local = (np.zeros(len(rows), "i4") for _ in range(3))
+        cells, room = [], 0
+        for cell in np.flatnonzero(rows).tolist():
+            n = int(rows[cell])
+            parts[cell] = -(-n // BLOCK_ROWS)
+            if parts[cell] > 1 or n > room:
+                start[cell] = len(cells)
+                cells += [1] * int(parts[cell])
+                room = BLOCK_ROWS - n if parts[cell] == 1 else 0
+            else:
+                start[cell], local[cell] = len(cells) - 1, cells[-1]
+                cells[-1] += 1
+                room -= n
+        return cls(kinds, kinds if (kinds == rows).all() else rows, start, parts, local, np.array(cells, "i4"))
+
+
+def _placed(layout: Broadcast[Layout]) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = layout.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column("embedding"))
-            for lo in range(0, len(x), 256):
-                ids, vectors, of, cells = [], [], [], []
-                for i, (p, q) in enumerate(zip(*books.scores(x[lo : lo + 256])), lo):
-                    own: dict[int, list[int]] = {}
-                    for cell in walk(p, q, counts, wanted):
-                        start, n = blocks[cell]
-                        for k in range(start, start + n):
-                            own.setdefault(k, []).append(cell)
-                    for k, c in own.items():
-                        ids.append(i), of.append(k), cells.append(c)
-                take = pa.array(ids, pa.int64())
-                vectors = b.column("embedding").take(take)
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), b.column("vec_id").take(take), vectors, pa.array(cells, pa.list_(pa.int32()))], names=["block", "query_id", "vector", "cells"])
+            ids, cell = b.column("vec_id").to_numpy(), b.column("cell").to_numpy()
+            block = own.start[cell] + (mix(ids.astype("u8")) % own.parts[cell].astype("u8")).astype("i4")
+            yield pa.RecordBatch.from_arrays([pa.array(block), b.column("vec_id"), b.column("embedding"), pa.array(own.local[cell])], names=["block", "vec_id", "embedding", "place"])
 
-    return run
+    return lean(run)
+
+
+def _probes(books: Codebooks, layout: Broadcast[Layout], share: float, least: int) -> Run:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, (n, m) = layout.value, (len(x) for x in books.halves)
+        kinds = own.kinds.reshape(n, m)
+        rows = kinds if own.rows is own.kinds else own.rows.reshape(n, m)
+        wanted = share * float(kinds.sum())
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                of, block, bits = [], [], []
+                for i, (p, q) in enumerate(zip(*books.scores(_matrix(part.column("embedding"))))):
+                    cells = walk(p, q, kinds, rows, wanted, least)
+                    parts = own.parts[cells]
+                    cells = np.repeat(cells, parts)
+                    blocks = own.start[cells] + np.arange(len(cells)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    order = np.argsort(blocks, kind="stable")
+                    blocks, places = blocks[order], own.local[cells[order]]
+                    edge = np.flatnonzero(np.diff(blocks, prepend=-1, append=-1)).tolist()
+                    for x, y in zip(edge, edge[1:]):
+                        probed = np.zeros(own.cells[blocks[x]], bool)
+                        probed[places[x:y]] = True
+                        of.append(i), block.append(blocks[x]), bits.append(np.packbits(probed).tobytes())
+                take = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), part.column("vec_id").take(take), part.column("embedding").take(take), pa.array(bits, pa.binary())], names=["block", "query_id", "vector", "bits"])
+
+    return lean(run)
 
 
 def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -146,7 +208,7 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if data.num_rows and queries.num_rows:
-            x, ids, cell = _matrix(data.column("embedding").combine_chunks()), data.column("vec_id").to_numpy(), data.column("cell").to_numpy()
+            x, ids, cell = _matrix(data.column("embedding").combine_chunks()), data.column("vec_id").to_numpy(), data.column("place").to_numpy()
             kinds, cls = np.unique(np.column_stack([x, cell.astype("f8")]), axis=0, return_inverse=True)
             cls = cls.ravel()
             order = np.lexsort((ids, cls))
@@ -160,20 +222,12 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             starts = np.cumsum([0, *times[times > 1]])[:-1]
             wide_cls, single = cls[order[by_id]], np.unique(cls[order[~wide]])
             x, cell = kinds[:, :-1], kinds[:, -1].astype("i8")
-            q_all, q_ids, q_cells = _matrix(queries.column("vector").combine_chunks()), queries.column("query_id").to_numpy(), queries.column("cells").combine_chunks()
-            offsets, flat = q_cells.offsets.to_numpy(), q_cells.values.to_numpy()
-            present = np.unique(cell)
-            place = np.searchsorted(present, cell)
+            q_all, q_ids, q_bits = _matrix(queries.column("vector").combine_chunks()), queries.column("query_id").to_numpy(), queries.column("bits").to_pylist()
             for lo in range(0, len(q_all), 512):
                 q = q_all[lo : lo + 512]
                 s = q @ x.T
-                probed = np.zeros((len(q), len(present)), bool)
-                of = np.repeat(np.arange(len(q)), np.diff(offsets[lo : lo + len(q) + 1]))
-                mine = flat[offsets[lo] : offsets[lo + len(q)]]
-                at = np.searchsorted(present, mine)
-                ok = (at < len(present)) & (present[np.minimum(at, len(present) - 1)] == mine)
-                probed[of[ok], at[ok]] = True
-                s[~probed[:, place]] = -np.inf
+                probed = np.unpackbits(np.frombuffer(b"".join(q_bits[lo : lo + 512]), "u1").reshape(len(q), -1), axis=1)
+                s[probed[:, cell] == 0] = -np.inf
                 # columns without a vec_id in common: none of the k nearest is below the best k + 1 of them
                 apart = np.concatenate([s[:, single], np.maximum.reduceat(s[:, wide_cls], starts, axis=1)], axis=1) if len(by_id) else s
                 n = min(k + 1, apart.shape[1])
@@ -206,31 +260,26 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = PROBE_SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose vec_id is divisible by every, its k nearest found."""
-    spark = vectors.sparkSession
+    spark, own = vectors.sparkSession, Scratch()
     ship(spark)
-    rows = valid(vectors).distinct()
-    books = fit(rows)
-    if books is None:
+    rows = valid(vectors)
+    most = rows.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]  # rows of one vec_id
+    if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = stored(rows.mapInArrow(_with_cell(books), "vec_id long, embedding array<double>, cell int"), "cells")
-    width = len(books.halves[1])
-    counts = np.zeros(len(books.halves[0]) * width, "i8")
-    for r in rows.groupBy("cell").count().collect():  # a row for each pair of centroids at most
-        counts[r["cell"]] = r["count"]
-    blocks, at, held = {}, 0, 0
-    for cell in np.flatnonzero(counts).tolist():
-        n = int(counts[cell])
-        if held and held + n > BLOCK_ROWS:
-            at, held = at + 1, 0
-        parts = -(-n // BLOCK_ROWS)
-        blocks[cell] = at, parts
-        at, held = (at + parts, 0) if parts > 1 else (at, held + n)
-    probe = _probes(books, counts.reshape(-1, width), blocks, share * float(counts.sum()))
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    asked = stored(asked.mapInArrow(probe, "block int, query_id long, vector array<double>, cells array<int>"), "probes")
+    rows = rows.distinct() if most > 1 else rows
+    books = fit(rows)
+    rows = own.keep(rows.mapInArrow(_with_cell(books), "vec_id long, embedding array<double>, cell int"), "cells")
+    counts = [np.zeros(len(books.halves[0]) * len(books.halves[1]), "i4") for _ in range(2)]
+    for n, x in zip(counts, (rows.select("cell"), rows.select("cell", F.xxhash64("embedding").alias("kind")).distinct())):
+        found = x.groupBy("cell").agg(F.count("*").alias("n")).toArrow()  # a row for each pair of centroids at most
+        n[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    layout = spark.sparkContext.broadcast(Layout.of(*counts))  # bounded by the codebooks
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
+    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")) if most > 1 else asked
+    asked = asked.repartition(max(1, -(-asked.count() // QUERIES_A_TASK)), "vec_id")
+    asked = own.keep(asked.mapInArrow(_probes(books, layout, share, (k + 1) * most), "block int, query_id long, vector array<double>, bits binary"), "probes")
     groups = asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("groups"))
-    places = spark.createDataFrame([(c, a, n) for c, (a, n) in blocks.items()], "cell int, start int, parts int")  # bounded by the codebooks
-    data = rows.join(F.broadcast(places), "cell").select("vec_id", "embedding", "cell", (F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block"))
+    data = rows.mapInArrow(_placed(layout), "block int, vec_id long, embedding array<double>, place int")
     data = data.join(groups, "block").withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
     asked = asked.join(groups, "block").withColumn("grp", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).drop("groups")
     found = data.groupBy("block", "grp").cogroup(asked.groupBy("block", "grp")).applyInArrow(_best(k), "query_id long, vec_id long, score double")

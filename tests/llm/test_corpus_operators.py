@@ -313,6 +313,14 @@ def test_salted_join_gives_the_same(spark, monkeypatch):
     assert pick(mixing.mixed(docs)) == a
 
 
+def test_mixing_leaves_other_columns(spark):
+    names = ["draws", "cdf", "_of", "_salt", "_part", "n", "mean", "weight", "key"]
+    docs = sources(spark, 200).select("*", *[F.concat(F.lit(k + "-"), F.coalesce(F.col("doc_id"), F.lit(0))).alias(k) for k in names])
+    out = mixing.mixed(docs)
+    assert out.columns == ["doc_id", "text", "source", *names, "n_copies", "rate", "copy", "shuffle_key"]
+    assert out.count() > 50 and all(x[k] == f"{k}-{x['doc_id']}" for x in out.collect() for k in names)
+
+
 def test_poisson_counts(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("s").alias("source"))
     for rate in (0.7, 40.0):
@@ -347,8 +355,99 @@ def test_quotations(spark):
 
 def test_long_reply_chain(spark):
     rows = [(1, k, "a", f"> message {k - 1}\nmessage {k}" if k else "message 0") for k in range(40)]
-    got = {x["turn"]: (x["thread_turn"], x["depth"]) for x in chat_quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got == {k: (0, k) for k in range(40)}
+    got = {x["turn"]: (x["thread_turn"], x["depth"], x["position"]) for x in chat_quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {k: (0, k, k) for k in range(40)}
+
+
+def talks(seed, sizes):
+    """Threads with quotes of quotes, rewrapped quotes, repeated lines and attributions."""
+    r = random.Random(seed)
+    out = []
+    for conv, size in enumerate(sizes):
+        own = []
+        for turn in range(size):
+            lines = []
+            for _ in range(r.choice([0, 1, 1, 1, 2])):
+                if own:
+                    of = r.choice(own[-30:])
+                    if r.random() < 0.2:
+                        lines.append("On Monday a reader wrote:")
+                    quote = r.choice([of, [" ".join(" ".join(of).split())], of[:1], [" ".join(of).upper()]])
+                    level = r.choice(["> ", ">", "> > "])
+                    lines += [level + x if x[:1] != ">" else ">" + x for x in quote]
+            text = [r.choice(["I agree.", "No.", f"word {r.randint(0, 300)} of turn"]) for _ in range(r.randint(0, 3))] + [f"Turn {turn} of talk {conv}, {r.random():.6f}"] * r.randint(0, 1)
+            if r.random() < 0.2:
+                text.insert(len(text) // 2, "")
+            own.append([x for x in text if x] or ["nothing"])
+            out.append((conv, turn, r.choice("ab"), r.choice(["\n", "\n", "\r\n"]).join(lines + text)))
+    return out
+
+
+def brute_order(rows):
+    """Of each row: parent, thread, depth, quoted lines, own text, position."""
+    import re
+
+    marks = re.compile(chat_quotes.MARKS)
+    normal = lambda x: re.sub(chat_quotes.WORD_BREAK, " ", x).lower().strip(" ")
+    units = lambda bodies: {normal(x) for x in ["\n".join(bodies), *re.split(chat_quotes.GAP, "\n".join(bodies)), *bodies]} - {""}
+    parsed, first = [], {}
+    for conv, turn, _, text in rows:
+        lines = []
+        for x in re.split("\r?\n", text) if text else []:
+            m = marks.match(x)
+            lines.append((m[1].count(">"), x[m.end() :]) if m else (0, x))
+        own = [b for i, (level, b) in enumerate(lines) if not level and not (i + 1 < len(lines) and lines[i + 1][0] and re.match(chat_quotes.ATTRIBUTION, b))]
+        parsed.append((lines, own))
+        for u in units(own):
+            first[conv, u] = min(first.get((conv, u), turn), turn)
+    parent = {}
+    for (conv, turn, _, _), (lines, _) in zip(rows, parsed):
+        found, i = [], 0
+        while i < len(lines):
+            j = i
+            while j < len(lines) and lines[j][0] == lines[i][0]:
+                j += 1
+            if lines[i][0]:
+                found += [(-lines[i][0], len(u), first[conv, u]) for u in units([b for _, b in lines[i:j]]) if first.get((conv, u), turn) < turn]
+            i = j
+        if found:
+            parent[conv, turn] = max(found)[2]
+    out = {}
+    for (conv, turn, _, _), (lines, own) in zip(rows, parsed):
+        top, depth = turn, 0
+        while (conv, top) in parent:
+            top, depth = parent[conv, top], depth + 1
+        out[conv, turn] = [parent.get((conv, turn)), top, depth, sum(x > 0 for x, _ in lines), "\n".join(own).strip(" ")]
+    place = {}
+    for conv, turn in sorted(out, key=lambda k: (k[0], out[k][1], out[k][2], k[1])):
+        out[conv, turn].append(place.get(conv, 0))
+        place[conv] = place.get(conv, 0) + 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_threads_equal_brute_force_and_sql(spark, monkeypatch):
+    """Quotes of quotes in small and in one large conversation; no stored stage runs Python."""
+    plans = []
+    keep = chat_quotes.stored
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(chat_quotes, "stored", watched)
+    rows = talks(5, [10_000, 3, 40, 1, 200])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_quotes.reply_ordered(df)
+    names = ["parent_turn", "thread_turn", "depth", "n_quoted_lines", "reply_text", "position"]
+    got = {(x["conv_id"], x["turn"]): tuple(x[n] for n in names) for x in out.collect()}
+    want = brute_order(rows)
+    assert sum(v[0] is not None for v in want.values()) > 3000 and max(v[2] for v in want.values()) > 8
+    assert got == want
+    assert len(plans) > 4 and not any(x in p for p in plans for x in ("Python", "Pandas", "Arrow"))
+    duckdb = pytest.importorskip("duckdb")
+    conversations = df.toPandas()  # noqa: F841
+    sql = {(x[0], x[1]): x[2:] for x in duckdb.sql(f"SELECT conv_id, turn, {', '.join(names)} FROM ({chat_quotes.SQL})").fetchall()}
+    assert sql == want
 
 
 # neighbours
@@ -363,24 +462,49 @@ def vectors(spark, n=1500, d=16):
     return x.astype("f8"), spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
 
 
-def test_neighbours(spark):
-    x, df = vectors(spark)
-    got = ann_multi_index.search(df).collect()
+def recall(got, x, every=20, k=20):
+    """Share of the exact k nearest that were found; also holds order, ties, scores and ids."""
     score = x @ x.T
     hits = total = 0
     by = {}
     for g in got:
         by.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"], g["score"]))
         assert abs(g["score"] - score[g["query_id"], g["vec_id"]]) < 1e-9
-    assert set(by) == {i for i in range(len(x)) if i % 20 == 0}
+    assert set(by) == {i for i in range(len(x)) if i % every == 0}
     for q, rows in by.items():
         rows.sort()
-        assert [k for k, _, _ in rows] == list(range(1, 21)) and q not in [v for _, v, _ in rows]
+        assert [n for n, _, _ in rows] == list(range(1, k + 1)) and q not in [v for _, v, _ in rows]
         assert rows == sorted(rows, key=lambda t: (-t[2], t[1]))
-        order = sorted((v for v in range(len(x)) if v != q), key=lambda v: (-round(score[q, v], 9), v))[:20]
+        order = sorted((v for v in range(len(x)) if v != q), key=lambda v: (-round(score[q, v], 9), v))[:k]
         hits += len(set(order) & {v for _, v, _ in rows})
-        total += 20
-    assert hits / total >= 0.9
+        total += k
+    return hits / total
+
+
+def test_neighbours(spark):
+    x, df = vectors(spark)
+    assert recall(ann_multi_index.search(df).collect(), x) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["without structure", "clustered", "unlike lengths", "a hot group"])
+def test_recall(spark, kind):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(2400, 64))
+    if kind == "clustered":
+        x = x * 0.3 + r.normal(size=(30, 64))[r.integers(0, 30, 2400)]
+    elif kind == "unlike lengths":
+        x *= r.lognormal(0, 0.5, (2400, 1))
+    elif kind == "a hot group":
+        x[r.permutation(2400)[:800]] = x[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall(ann_multi_index.search(df).collect(), x) >= 0.9
+
+
+def test_repeated_query(spark):
+    """A query with several vectors asks with the smallest one; other rows of it are no candidates."""
+    df = spark.createDataFrame([(0, [3.0, 1.0]), (0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.5]), (3, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    got = sorted((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in ann_multi_index.search(df).collect())
+    assert got == [(0, 1, 3, 27.0), (0, 2, 2, 3.0), (0, 3, 1, 2.0)]
 
 
 @pytest.mark.parametrize("case", ["every row twice", "one row often", "one id with many vectors"])
@@ -394,8 +518,8 @@ def test_repeated_vectors(case):
         rows += [(i, [50.0] * 4) for i in range(101, 131) for _ in range(30 if i == 101 else 1)]
     else:
         rows += [(101, [50.0 + j, 50.0, 50.0, 50.0]) for j in range(30)]
-    data = pa.table({"vec_id": [i for i, _ in rows], "embedding": [x for _, x in rows], "cell": pa.array([0] * len(rows), pa.int32())})
-    queries = pa.table({"query_id": [0], "vector": [[1.0, 2.0, 3.0, 4.0]], "cells": pa.array([[0]], pa.list_(pa.int32()))})
+    data = pa.table({"vec_id": [i for i, _ in rows], "embedding": [x for _, x in rows], "place": pa.array([0] * len(rows), pa.int32())})
+    queries = pa.table({"query_id": [0], "vector": [[1.0, 2.0, 3.0, 4.0]], "bits": pa.array([b"\x80"], pa.binary())})
     got = ann_multi_index._best(20)(data, queries).to_pylist()
     best = {}
     for i, x in rows:
@@ -405,19 +529,34 @@ def test_repeated_vectors(case):
 
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
-    got = sorted((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in ann_multi_index.search(df, share=1.0).collect())
+    got = sorted((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in ann_multi_index.search(df).collect())
     assert got == [(0, 1, 20, 0.5), (0, 2, 3, 0.0), (20, 1, 0, 0.5), (20, 2, 3, 0.5)]
     assert ann_multi_index.search(df.limit(0)).count() == 0
 
 
-def test_walk_is_in_order():
+@pytest.mark.parametrize("side", [64, 3])
+def test_walk_is_in_order(monkeypatch, side):
+    """What is passed holds enough, and no pair (of tiles, their best pairs) that is left has a larger sum than all that were taken."""
+    monkeypatch.setattr(ann_multi_index, "SIDE", side)
     r = np.random.default_rng(3)
     a, b = r.normal(size=8), r.normal(size=6)
-    counts = np.ones((8, 6), "i8")
-    cells = ann_multi_index.walk(a, b, counts, 1e9)
-    sums = [a[c // 6] + b[c % 6] for c in cells]
-    assert len(set(cells)) == 48 and all(x >= y - 1e-12 for x, y in zip(sums, sums[1:]))
-    assert len(ann_multi_index.walk(a, b, counts, 10)) == 10
+    kinds = r.integers(0, 3, (8, 6)).astype("i4")
+    sums = a[:, None] + b
+    full = ann_multi_index.walk(a, b, kinds, kinds, 1e9)
+    assert sorted(full.tolist()) == np.flatnonzero(kinds).tolist()
+    for wanted, least in ((10, 0), (1, 12), (0, 0)):
+        cells = ann_multi_index.walk(a, b, kinds, 2 * kinds, wanted, least)
+        taken = kinds.ravel()[cells]
+        assert taken.sum() >= wanted and 2 * taken.sum() >= least and (taken > 0).all()
+        if side == 64 and len(cells):
+            left = np.setdiff1d(full, cells)
+            assert sums.ravel()[cells].min() >= sums.ravel()[left].max() - 1e-12 and (taken[:-1].sum() < max(wanted, least / 2) or len(cells) == 1)
+
+
+def test_layout():
+    own = ann_multi_index.Layout.of(np.array([0, 3000, 1000, 500, 9000, 0, 4096, 1]), np.array([0, 3000, 1000, 500, 9000, 0, 4096, 1]))
+    assert own.start[[1, 2, 3, 4, 6, 7]].tolist() == [0, 0, 1, 2, 5, 6] and own.parts[4] == 3 and own.local[[1, 2, 3]].tolist() == [0, 1, 0]
+    assert own.cells.tolist() == [2, 1, 1, 1, 1, 1, 1]
 
 
 # the pipeline and the native operators
