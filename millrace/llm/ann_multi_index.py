@@ -107,37 +107,38 @@ def _with_cell(books: Codebooks) -> Run:
     return lean(run)
 
 
-def walk(first: np.ndarray, second: np.ndarray, kinds: np.ndarray, rows: np.ndarray, wanted: float, least: int = 0) -> np.ndarray:
-    """Occupied cells in tiles of pairs, by their best summed score (a heap), until they hold the wanted kinds and least rows."""
+def walk(first: np.ndarray, second: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], kinds: np.ndarray, rows: np.ndarray, wanted: float, least: int = 0) -> np.ndarray:
+    """Which of the occupied cells (pairs of centroids) a query passes: by tiles of pairs, in order of their best
+    summed score (a heap), until they hold the wanted kinds and least rows."""
     a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
     step = -(-max(len(a), len(b)) // SIDE)
-    at, bt = np.arange(0, len(a), step), np.arange(0, len(b), step)
-    x, y = (-first[a[at]]).tolist(), (-second[b[bt]]).tolist()
-    placed = kinds[np.ix_(a, b)]
-    tiles = lambda m: np.add.reduceat(np.add.reduceat(m, at, axis=0), bt, axis=1).tolist()
-    of_kinds = tiles(placed)
-    of_rows = of_kinds if rows is kinds else tiles(rows[np.ix_(a, b)])
-    taken = np.zeros((len(at), len(bt)), bool)
+    x, y = (-first[a[::step]]).tolist(), (-second[b[::step]]).tolist()
+    of_first, of_second = np.empty(len(a), "i4"), np.empty(len(b), "i4")  # the tile of a centroid
+    of_first[a], of_second[b] = np.arange(len(a), dtype="i4") // step * len(y), np.arange(len(b), dtype="i4") // step
+    tile = of_first[pairs[0]] + of_second[pairs[1]]
+    of_kinds = np.bincount(tile, kinds, len(x) * len(y)).tolist()
+    of_rows = of_kinds if rows is kinds else np.bincount(tile, rows, len(x) * len(y)).tolist()
+    taken = np.zeros(len(x) * len(y), bool)
     heap, reached, passed, held = [(x[0] + y[0], 0, 0)], [0] * len(x), 0, 0
     while heap and (passed < wanted or held < least):
         _, i, j = heapq.heappop(heap)
-        taken[i, j] = True
-        passed += of_kinds[i][j]
-        held += of_rows[i][j]
+        at = i * len(y) + j
+        taken[at] = True
+        passed += of_kinds[at]
+        held += of_rows[at]
         reached[i] = j + 1
         if j + 1 < len(y) and (i == 0 or reached[i - 1] > j + 1):
             heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
         if i + 1 < len(x) and reached[i + 1] == j:
             heapq.heappush(heap, (x[i + 1] + y[j], i + 1, j))
-    grid = np.repeat(np.repeat(taken, step, axis=0)[: len(a)], step, axis=1)[:, : len(b)]
-    r, c = np.nonzero(grid & (placed > 0))
-    return a[r] * len(b) + b[c]
+    return np.flatnonzero(taken[tile])
 
 
 @dataclass
 class Layout:
-    """Where cells lie: rows and different vectors of each, first block, number of blocks, place among a block's cells."""
+    """The occupied cells: rows and different vectors of each, first block, number of blocks, place among a block's cells."""
 
+    cell: np.ndarray
     kinds: np.ndarray
     rows: np.ndarray
     start: np.ndarray
@@ -146,46 +147,45 @@ class Layout:
     cells: np.ndarray  # of each block
 
     @classmethod
-    def of(cls, rows: np.ndarray, kinds: np.ndarray) -> Layout:
-        start, parts, local = (np.zeros(len(rows), "i4") for _ in range(3))
+    def of(cls, cell: np.ndarray, rows: np.ndarray, kinds: np.ndarray) -> Layout:
+        """cell is ascending."""
+        start, local = np.zeros(len(cell), "i4"), np.zeros(len(cell), "i4")
+        parts = (-(-rows // BLOCK_ROWS)).astype("i4")
         cells, room = [], 0
-        for cell in np.flatnonzero(rows).tolist():
-            n = int(rows[cell])
-            parts[cell] = -(-n // BLOCK_ROWS)
-            if parts[cell] > 1 or n > room:
-                start[cell] = len(cells)
-                cells += [1] * int(parts[cell])
-                room = BLOCK_ROWS - n if parts[cell] == 1 else 0
+        for k, n in enumerate(rows.tolist()):
+            if parts[k] > 1 or n > room:
+                start[k] = len(cells)
+                cells += [1] * int(parts[k])
+                room = BLOCK_ROWS - n if parts[k] == 1 else 0
             else:
-                start[cell], local[cell] = len(cells) - 1, cells[-1]
+                start[k], local[k] = len(cells) - 1, cells[-1]
                 cells[-1] += 1
                 room -= n
-        return cls(kinds, kinds if (kinds == rows).all() else rows, start, parts, local, np.array(cells, "i4"))
+        return cls(cell, kinds, kinds if (kinds == rows).all() else rows, start, parts, local, np.array(cells, "i4"))
 
 
 def _placed(layout: Broadcast[Layout]) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = layout.value
         for b in batches:
-            ids, cell = b.column("vec_id").to_numpy(), b.column("cell").to_numpy()
-            block = own.start[cell] + (mix(ids.astype("u8")) % own.parts[cell].astype("u8")).astype("i4")
-            yield pa.RecordBatch.from_arrays([pa.array(block), b.column("vec_id"), b.column("embedding"), pa.array(own.local[cell])], names=["block", "vec_id", "embedding", "place"])
+            ids, at = b.column("vec_id").to_numpy(), np.searchsorted(own.cell, b.column("cell").to_numpy())
+            block = own.start[at] + (mix(ids.astype("u8")) % own.parts[at].astype("u8")).astype("i4")
+            yield pa.RecordBatch.from_arrays([pa.array(block), b.column("vec_id"), b.column("embedding"), pa.array(own.local[at])], names=["block", "vec_id", "embedding", "place"])
 
     return lean(run)
 
 
 def _probes(books: Codebooks, layout: Broadcast[Layout], share: float, least: int) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (n, m) = layout.value, (len(x) for x in books.halves)
-        kinds = own.kinds.reshape(n, m)
-        rows = kinds if own.rows is own.kinds else own.rows.reshape(n, m)
-        wanted = share * float(kinds.sum())
+        own = layout.value
+        pairs, wanted = np.divmod(own.cell, len(books.halves[1])), share * float(own.kinds.sum())
+        rows = own.kinds if (own.rows == own.kinds).all() else own.rows
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
                 of, block, bits = [], [], []
                 for i, (p, q) in enumerate(zip(*books.scores(_matrix(part.column("embedding"))))):
-                    cells = walk(p, q, kinds, rows, wanted, least)
+                    cells = walk(p, q, pairs, own.kinds, rows, wanted, least)
                     parts = own.parts[cells]
                     cells = np.repeat(cells, parts)
                     blocks = own.start[cells] + np.arange(len(cells)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -269,11 +269,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = PROB
     rows = rows.distinct() if most > 1 else rows
     books = fit(rows)
     rows = own.keep(rows.mapInArrow(_with_cell(books), "vec_id long, embedding array<double>, cell int"), "cells")
-    counts = [np.zeros(len(books.halves[0]) * len(books.halves[1]), "i4") for _ in range(2)]
-    for n, x in zip(counts, (rows.select("cell"), rows.select("cell", F.xxhash64("embedding").alias("kind")).distinct())):
-        found = x.groupBy("cell").agg(F.count("*").alias("n")).toArrow()  # a row for each pair of centroids at most
-        n[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    layout = spark.sparkContext.broadcast(Layout.of(*counts))  # bounded by the codebooks
+    counts = rows.groupBy("cell", F.xxhash64("embedding").alias("kind")).agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"))
+    counts = counts.toArrow().sort_by("cell")  # a row for each pair of centroids at most
+    layout = spark.sparkContext.broadcast(Layout.of(*(counts.column(c).to_numpy() for c in ("cell", "rows", "kinds"))))  # bounded likewise
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
     asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")) if most > 1 else asked
     asked = asked.repartition(max(1, -(-asked.count() // QUERIES_A_TASK)), "vec_id")
