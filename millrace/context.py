@@ -75,9 +75,16 @@ class Context:
         self.close()
 
 
+#: Rows that a table of options may have.
+MOST_OPTIONS = 10_000
+
+
 def options_of(pairs: DataFrame) -> dict[str, str]:
-    """A table of (key, value) strings as a dict, without empty keys and values. For option tables only."""
-    return {r["key"]: r["value"] for r in pairs.limit(10_000).collect() if r["key"] and r["value"]}
+    """A table of (key, value) strings as a dict, without empty keys and values. For option tables only: a larger one is an error."""
+    rows = pairs.limit(MOST_OPTIONS + 1).collect()
+    if len(rows) > MOST_OPTIONS:
+        raise ValueError(f"more than {MOST_OPTIONS} options")
+    return {r["key"]: r["value"] for r in rows if r["key"] and r["value"]}
 
 
 def parse_properties(lines: Iterable[str]) -> dict[str, str]:

@@ -6,23 +6,27 @@ commands should be safe to repeat.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import shlex
 import subprocess
 import tempfile
+import threading
+import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import fill_template
 from millrace.storage import ship
 
-RESULT = "task long, command string, code int, stdout string, stderr string"
+RESULT = "task long, command string, code int, stdout string, stderr string, tries int, worker int, seconds double"
 
 
 def split_command(command: str) -> list[str]:
@@ -40,20 +44,25 @@ def _execute(command: str, shell: bool, timeout: float | None, text: str | None
         return 127, "", str(e)
 
 
-def run_commands(commands: DataFrame, command: str = "value", task: str = "key", slots: int = 8, shell: bool = False, timeout: float | None = None, strict: bool = False) -> DataFrame:
-    """Runs a command for every row; code, stdout and stderr of each. strict: a failing command fails the stage.
+def run_commands(commands: DataFrame, command: str = "value", task: str = "key", slots: int = 8, shell: bool = False, timeout: float | None = None, strict: bool = False, retries: int = 0) -> DataFrame:
+    """Runs a command for every row; code, stdout and stderr of each, and its tries, worker (a slot) and seconds.
 
-    Rows are dealt out over slots tasks; each row's command runs alone in its turn.
+    Rows are dealt out over slots tasks; each row's command runs alone in its turn. retries: a failing command runs
+    again so often; strict: one that still fails, fails the stage.
     """
     ship(commands.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for t, c in zip(f["task"], f["command"]):
-                code, out, err = _execute(c, shell, timeout)
+                tries, code, began = 0, 1, time.perf_counter()
+                while code and tries <= retries:
+                    code, out, err = _execute(c, shell, timeout)
+                    tries += 1
                 if strict and code:
                     raise RuntimeError(f"command of task {t} failed with {code}: {err[-500:]}")
-                yield pd.DataFrame([(t, c, code, out, err)], columns=["task", "command", "code", "stdout", "stderr"])
+                worker = TaskContext.get().partitionId()
+                yield pd.DataFrame([(t, c, code, out, err, tries, worker, time.perf_counter() - began)], columns=["task", "command", "code", "stdout", "stderr", "tries", "worker", "seconds"])
 
     rows = commands.select(F.col(task).cast("long").alias("task"), F.col(command).alias("command"))
     return rows.repartition(slots).mapInPandas(run, RESULT)
@@ -71,11 +80,37 @@ def farm(tasks: DataFrame, fn: Callable[[Any, Any], Iterable[tuple[Any, Any]]],
     return tasks.repartition(slots).mapInPandas(run, f"key {key}, value {value}")
 
 
-def _piped(command: str, lines: Iterable[str]) -> list[str]:
-    code, out, err = _execute(command, False, None, "".join(f"{x}\n" for x in lines))
-    if code:
-        raise RuntimeError(f"{command} failed with {code}: {err[-500:]}")
-    return out.splitlines()
+def _piped(command: str, lines: Iterable[str]) -> Iterator[str]:
+    """The program's output lines, while another thread feeds it: neither side is held in memory."""
+    with tempfile.TemporaryFile("w+") as errors:
+        p = subprocess.Popen(split_command(command), stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=errors, text=True)
+        broken: list[BaseException] = []
+
+        def feed() -> None:
+            try:
+                with p.stdin as to:
+                    to.writelines(f"{x}\n" for x in lines)
+            except BrokenPipeError:
+                pass  # a program may stop reading early
+            except BaseException as e:
+                broken.append(e)
+                p.kill()
+
+        feeder = threading.Thread(target=feed, daemon=True)
+        feeder.start()
+        try:
+            for x in p.stdout:
+                yield x.rstrip("\n")
+        finally:
+            if p.poll() is None and not p.stdout.closed:
+                p.stdout.close()
+            code = p.wait()
+            feeder.join()
+        if broken:
+            raise broken[0]
+        if code:
+            errors.seek(0)
+            raise RuntimeError(f"{command} failed with {code}: {errors.read()[-500:]}")
 
 
 def key_values(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -86,15 +121,18 @@ def key_values(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def pipe_map(lines: DataFrame, command: str, line: str = "value") -> DataFrame:
-    """Each partition's lines go through a program; its lines come out."""
+    """Each partition's lines go through a program; its lines come out. A partition without lines starts none."""
     ship(lines.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        given = [x for f in frames for x in f[line]]
-        if given:
-            yield pd.DataFrame({"value": _piped(command, given)})
+        given = (x for f in frames for x in f[line])
+        first = next(given, None)
+        if first is not None:
+            out = _piped(command, itertools.chain([first], given))
+            while part := list(itertools.islice(out, 10_000)):
+                yield pd.DataFrame({"value": part})
 
-    return lines.select(line).mapInPandas(run, "value string")
+    return lines.select(line).where(F.col(line).isNotNull()).mapInPandas(run, "value string")
 
 
 def pipe_reduce(pairs: DataFrame, command: str | None, ranks: int | None = None) -> DataFrame:
@@ -171,11 +209,16 @@ def parse_job_table(lines: Iterable[str]) -> JobTable:
     return JobTable(title, template, rows)
 
 
-def run_jobs(spark: SparkSession, table: JobTable, program: str = "", slots: int = 8, timeout: float | None = None) -> DataFrame:
+def run_jobs(spark: SparkSession, table: JobTable, program: str = "", slots: int = 8, timeout: float | None = None, retries: int = 0) -> DataFrame:
     tasks = spark.createDataFrame(list(enumerate(table.commands(program))), "key long, value string")
-    return run_commands(tasks, slots=slots, timeout=timeout)
+    return run_commands(tasks, slots=slots, timeout=timeout, retries=retries)
 
 
 def job_report(results: DataFrame) -> DataFrame:
     """code, jobs, and their task numbers: how the jobs ended."""
     return results.groupBy("code").agg(F.count(F.lit(1)).alias("jobs"), F.sort_array(F.collect_list("task")).alias("tasks"))
+
+
+def worker_report(results: DataFrame) -> DataFrame:
+    """worker, jobs, failed, tries, seconds: what each worker did."""
+    return results.groupBy("worker").agg(F.count(F.lit(1)).alias("jobs"), F.sum(F.when(F.col("code") != 0, 1).otherwise(0)).alias("failed"), F.sum("tries").alias("tries"), F.sum("seconds").alias("seconds"))

@@ -112,6 +112,17 @@ class Pairs:
 
         return Pairs(self.df.mapInPandas(run, f"key {key}, value {value}"))
 
+    def map_rank_by_rank(self, fn: Emit, key: str, value: str) -> Pairs:
+        """map, one rank (partition) after the other in a single task, so that fn sees them in order. To look at small results."""
+        ship(self.df.sparkSession)
+        ranked = self.df.withColumn("_rank", F.spark_partition_id()).repartition(1).sortWithinPartitions("_rank")
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame([x for k, v in zip(f["key"], f["value"]) for x in fn(k, v)], columns=["key", "value"])
+
+        return Pairs(ranked.mapInPandas(run, f"key {key}, value {value}"))
+
     def map_some(self, test: Column | str) -> Pairs:
         """At most one pair that passes the test; none if there is none."""
         return Pairs(self.df.where(test).limit(1))
@@ -191,6 +202,10 @@ class Pairs:
         """One aggregate over every pair, whatever its key; None without pairs."""
         return self.df.agg(value.alias("value")).first()["value"]
 
+    def reduce_ranks(self, value: Column, rank: Column) -> DataFrame:
+        """rank, value: one aggregate over all pairs of each rank, whatever their keys; none for a rank without pairs."""
+        return self.df.groupBy(rank.alias("rank")).agg(value.alias("value"))
+
     def reduce_some(self, value: Column, test: Column | str) -> Pairs:
         """At most one group whose aggregate passes the test."""
         return Pairs(self.reduce(value).df.where(test).limit(1))

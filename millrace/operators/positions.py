@@ -102,32 +102,52 @@ def exclusive_sum(df: DataFrame, value: str, *order: str | Column, name: str = "
 def exclusive_scan(df: DataFrame, value: str, combine: Callable[[Any, Any], Any], identity: Any, *order: str | Column, name: str = "scan", kind: str | None = None) -> tuple[DataFrame, Any]:
     """Adds the fold of value over all rows before, for any associative combine; also returns the total.
 
-    Each partition is folded, the partials (one a partition) are scanned on the driver, and a second
-    pass adds them. Empty partitions and tables count as the identity.
+    Each partition is folded, the partials (one a partition) are scanned on the driver, and a second pass adds them.
+    Both passes go over sorted rows batch by batch. Empty partitions and tables count as the identity.
     """
     ship(df.sparkSession)
-    rows = _placed(df, order)
     kind = kind or df.schema[value].dataType.simpleString()
+    rows = _placed(df, order).repartition("_mr_part").sortWithinPartitions("_mr_part", "_mr_place")
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        total = identity
-        for v in f.sort_values("_mr_place")["_v"]:
-            total = combine(total, v)
-        return pd.DataFrame({"_mr_part": [f["_mr_part"].iloc[0]], "_total": [total]})
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, Any] = {}
+        for f in frames:
+            for part, v in zip(f["_mr_part"], f["_v"]):
+                totals[part] = combine(totals.get(part, identity), v)
+        yield pd.DataFrame({"_mr_part": list(totals), "_total": list(totals.values())})
 
-    partials = rows.select("_mr_part", "_mr_place", F.col(value).alias("_v")).groupBy("_mr_part").applyInPandas(fold, f"_mr_part long, _total {kind}")
+    partials = rows.select("_mr_part", F.col(value).alias("_v")).mapInPandas(fold, f"_mr_part long, _total {kind}")
     before, total = {}, identity
     for r in sorted(partials.collect(), key=lambda r: r["_mr_part"]):
         before[r["_mr_part"]] = total
         total = combine(total, r["_total"])
 
-    def scan(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        f = frames.sort_values("_mr_place")
-        state, out = before[int(f["_mr_part"].iloc[0])], []
-        for v in f[value]:
-            out.append(state)
-            state = combine(state, v)
-        return f.drop(columns=["_mr_part", "_mr_place"]).assign(**{name: out})
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for f in frames:
+            out = []
+            for part, v in zip(f["_mr_part"], f[value]):
+                if part != at:
+                    at, state = part, before[part]
+                out.append(state)
+                state = combine(state, v)
+            yield f.drop(columns=["_mr_part", "_mr_place"]).assign(**{name: out})
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
-    return rows.groupBy("_mr_part").applyInPandas(scan, f"{fields}, `{name}` {kind}"), total
+    return rows.mapInPandas(scan, f"{fields}, `{name}` {kind}"), total
+
+
+def local_sum(df: DataFrame, value: str, rank: str, *order: str | Column, carry: DataFrame | None = None, name: str = "scan") -> tuple[DataFrame, DataFrame]:
+    """Adds the sum of value over the rows before in the rank's own order; also rank and carry: what each rank hands on.
+
+    carry: rank and carry of the ranks that begin with something.
+    """
+    inside = Window.partitionBy(rank).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    totals = df.groupBy(rank).agg(F.sum(value).alias("carry"))
+    if carry is None:
+        return out, totals
+    given = carry.select(F.col(rank).alias("_mr_rank"), F.col("carry").alias("_mr_carry"))
+    out = out.join(given, F.col(rank) == F.col("_mr_rank"), "left").withColumn(name, F.col(name) + F.coalesce("_mr_carry", F.lit(0))).select(*df.columns, name)
+    sums = carry.select(rank, "carry").unionByName(totals).groupBy(rank).agg(F.sum("carry").alias("carry"))
+    return out, sums

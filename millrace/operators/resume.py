@@ -1,13 +1,15 @@
 """Resumable steps: each step's table is written once, and a restarted run reads what is there.
 
-A step is known by its number, its name and a fingerprint of its plan's inputs and the options given; if
-the fingerprint differs from what an earlier run left, the step and all later ones are computed anew.
+A step is known by its number, its name, the options, its analysed plan, and the names, sizes and times of the files
+that the plan reads; if any of them differs from what an earlier run left, the step and all later ones are computed
+anew. Of a Python function in the plan only the name is seen: one that changes needs another text in inputs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +30,28 @@ class Run:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _plan(self, df: DataFrame) -> str:
+        """The analysed plan without the numbers that each session gives anew, and the files that it reads."""
+        tree = re.sub(r"#\d+L?|plan_id=\d+|\[id=#?\d+\]", "", df._jdf.queryExecution().analyzed().canonicalized().toString())
+        files = []
+        for name in sorted(df.inputFiles()):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            status = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(p)
+            files.append((name, status.getLen(), status.getModificationTime()))
+        return f"{tree}|{files}"
+
     def step(self, name: str, make: Callable[[], DataFrame], inputs: str = "", keep: bool = True) -> DataFrame:
-        """The table of the step; make is called only if it has to be computed."""
+        """The table of the step. make gives the plan; it runs only if the step has to be computed."""
         self.steps += 1
-        self.chain = hashlib.sha256(f"{self.chain}|{self.steps}|{name}|{inputs}".encode()).hexdigest()
+        df = make()
+        self.chain = hashlib.sha256(f"{self.chain}|{self.steps}|{name}|{inputs}|{self._plan(df)}".encode()).hexdigest()
         if not self.enabled or self.selective and not keep:
-            return make()
+            return df
         path = f"{self.path}/{self.steps:03d}_{name}_{self.chain[:16]}"
         if self._exists(f"{path}/_SUCCESS"):
             self.skipped += 1
         else:
-            make().write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     def clear(self) -> None:

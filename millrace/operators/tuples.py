@@ -43,6 +43,12 @@ def product(left: DataFrame, right: DataFrame, slots: Sequence[Slot], keys: Sequ
     return a.join(b, "key").select(key.alias("key"), F.struct(*[_side(s).alias(f"f{i}") for i, s in enumerate(slots)]).alias("value"), F.lit(marker).alias("marker"))
 
 
+def crossed(left: DataFrame, right: DataFrame, slots: Sequence[Slot], marker: int = 0) -> DataFrame:
+    """Every pair of a left and a right tuple, whatever their keys, as a tuple of the slots under the left key. As many rows as the product."""
+    a, b = left.select("key", F.col("value").alias("_left")), right.select(F.col("value").alias("_right"))
+    return a.crossJoin(b).select("key", F.struct(*[_side(s).alias(f"f{i}") for i, s in enumerate(slots)]).alias("value"), F.lit(marker).alias("marker"))
+
+
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """The tuple's fields as columns of the given names."""
     return df.select(*[F.col(f"value.f{i}").alias(n) for i, n in enumerate(names)])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import words_between_marks, words_of_letters, words_of_pattern
-from millrace.storage import drop_stored, stored
+from millrace.storage import bucketed, drop_stored, stored
 
 
 def word_counts(df: DataFrame, text: str, how: str = "letters", times: int = 1) -> DataFrame:
@@ -25,11 +25,11 @@ def page_ranks(edges: DataFrame, rounds: int = 100, damping: float = 0.85, keep_
     """node, rank after a fixed number of rounds: 1 - d + d * sum(rank / out-degree), not normalised.
 
     Every node with an out-edge starts at 1; the rank of nodes without one is lost; repeated edges count.
-    Parallel edges are summed first, so a round moves one row for each pair of nodes. The plan is cut
-    every few rounds by writing the ranks.
+    Parallel edges are summed first. Links are written once, in buckets by their start, so a round moves ranks and
+    partial sums, never links. The plan is cut every few rounds by writing the ranks.
     """
     degree = edges.groupBy("from").agg(F.count(F.lit(1)).alias("d"))
-    links = stored(edges.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).join(degree, "from").select("from", "to", (F.col("n") / F.col("d")).alias("share")), "links")
+    links = bucketed(edges.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).join(degree, "from").select("from", "to", (F.col("n") / F.col("d")).alias("share")), "links", "from")
     sources = stored(links.select(F.col("from").alias("node")).distinct(), "sources")
     ranks, last = sources.withColumn("rank", F.lit(1.0)), None
     for k in range(1, rounds + 1):
@@ -44,35 +44,37 @@ def page_ranks(edges: DataFrame, rounds: int = 100, damping: float = 0.85, keep_
     return ranks
 
 
-def _nearest(point: Column, means: Sequence[Sequence[float]], kind: str) -> Column:
-    """Index of the nearest mean; ties go to the lower index. Means are literals: they are few."""
+def _nearest(point: Column, means: Sequence[Sequence[float]], kind: str, reach: float | None = None) -> Column:
+    """Index of the nearest mean; ties go to the lower index. Means are literals: they are few. reach: a point whose
+    squared distances are all that large belongs to the first mean."""
     far = [F.struct(sum(((point[j] - F.lit(x).cast(kind)) * (point[j] - F.lit(x).cast(kind)) for j, x in enumerate(m)), F.lit(0).cast(kind)).alias("d"), F.lit(i).alias("i")) for i, m in enumerate(means)]
-    return F.least(*far)["i"] if len(far) > 1 else F.lit(0)
+    best = F.least(*far) if len(far) > 1 else far[0]
+    return best["i"] if reach is None else F.when(best["d"] < reach, best["i"]).otherwise(F.lit(0))
 
 
-def k_means(points: DataFrame, means: Sequence[Sequence[float]], rounds: int = 10, whole: bool = True, until_stable: bool = False) -> tuple[list[list[float]], DataFrame]:
+def k_means(
+    points: DataFrame, means: Sequence[Sequence[float]], rounds: int = 10, whole: bool = True, until_stable: bool = False, reach: float | None = None
+) -> tuple[list[list[float]], DataFrame]:
     """Means after the rounds, and the points with their cluster. points: id, point (array).
 
     whole: means are whole numbers, cut towards zero. A mean without points stays. until_stable: goes on
-    until no assignment changes. A round is one pass with a partial aggregate; only means come back.
+    until no point changes its cluster. A round is one pass with a partial aggregate; only means come back.
     """
     kind = "long" if whole else "double"
     dims = len(means[0])
-    now = [list(m) for m in means]
+    now, last = [list(m) for m in means], None
     data = points.select("id", F.col("point").cast(f"array<{kind}>").alias("point"))
-    seen = None
     while True:
-        own = data.withColumn("cluster", _nearest(F.col("point"), now, kind))
+        own = data.withColumn("cluster", _nearest(F.col("point"), now, kind, reach))
         if not until_stable and rounds <= 0:
             return now, own
         rounds -= 1
-        sums = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("point")[j]).alias(f"s{j}") for j in range(dims)])
+        moved = F.lit(True) if last is None else F.col("cluster") != _nearest(F.col("point"), last, kind, reach)
+        sums = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(moved, 1)).alias("moved"), *[F.sum(F.col("point")[j]).alias(f"s{j}") for j in range(dims)])
         rows = {r["cluster"]: r for r in sums.collect()}  # a row a mean
-        new = [[_mean(rows[i][f"s{j}"], rows[i]["n"], whole) for j in range(dims)] if i in rows else m for i, m in enumerate(now)]
-        state = sorted((i, r["n"], *(r[f"s{j}"] for j in range(dims))) for i, r in rows.items())
-        if until_stable and (new == now or state == seen):
-            return new, own
-        now, seen = new, state
+        if until_stable and not any(r["moved"] for r in rows.values()):
+            return now, own
+        last, now = now, [[_mean(rows[i][f"s{j}"], rows[i]["n"], whole) for j in range(dims)] if i in rows else m for i, m in enumerate(now)]
 
 
 def _mean(total: float, n: int, whole: bool) -> float:
@@ -86,18 +88,25 @@ def multiplied(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
 
 
+def uniform(*parts: Column | str) -> Column:
+    """A number in [0, 1) with 52 bits from the MD5 of the parts, which stand between colons."""
+    text = F.concat_ws(":", *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def random_graph(spark: SparkSession, levels: int, edges_per_node: int, a: float, b: float, c: float, d: float, fraction: float = 0.0, seed: int = 1, rounds: int = 100) -> DataFrame:
     """from, to: distinct edges of a recursive-quadrant graph, exactly 2**levels * edges_per_node of them.
 
     Every level of every draw takes a number hashed from the seed, the draw and the level, so draws need
-    no state and a lost task draws the same again. Rounds go on until enough edges are distinct.
+    no state and a lost task draws the same again. Rounds go on until enough edges are distinct; of more than
+    enough, those of smallest hash stay. If the rounds do not give enough, that is an error.
     """
     if abs(a + b + c + d - 1) > 1e-9:
         raise ValueError("a + b + c + d must be 1")
     wanted = edges_per_node << levels
 
     def draw(k: int) -> DataFrame:
-        u = lambda *x: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id"), *x), F.lit(1 << 53)) / F.lit(float(1 << 53)))
+        u = lambda *x: uniform(str(seed), str(k), F.col("id"), *x)
         start = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), *[F.lit(float(x)).alias(n) for n, x in zip("abcd", (a, b, c, d))])
 
         def level(s: Column, n: Column) -> Column:
@@ -112,17 +121,18 @@ def random_graph(spark: SparkSession, levels: int, edges_per_node: int, a: float
         return spark.range(wanted).select(state.alias("s")).select(F.col("s.i").alias("from"), F.col("s.j").alias("to")).distinct()
 
     found = stored(draw(0), "edges")
-    for k in range(1, rounds):
-        n = found.count()
-        if n >= wanted:
-            break
-        found = stored(found.unionByName(draw(k)).distinct(), "edges")
-    return found.orderBy(F.xxhash64("from", "to"), "from", "to").limit(wanted)
+    k = 1
+    while found.count() < wanted:
+        if k >= rounds:
+            raise RuntimeError(f"{rounds} rounds did not give {wanted} distinct edges")
+        found, last, k = stored(found.unionByName(draw(k)).distinct(), "edges"), found, k + 1
+        drop_stored(last)
+    return found.orderBy(F.md5(F.concat_ws(":", "from", "to")), "from", "to").limit(wanted)
 
 
 def pi_estimate(spark: SparkSession, points: int, seed: int = 1) -> DataFrame:
     """pi and the points it comes from, drawn from hashes."""
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    u = lambda k: uniform(str(seed), str(k), F.col("id"))
     inside = F.when(u(0) * u(0) + u(1) * u(1) <= 1, 1).otherwise(0)
     return spark.range(points).agg(F.count(F.lit(1)).alias("points"), F.sum(inside).alias("inside")).withColumn("pi", 4 * F.col("inside") / F.col("points"))
 
@@ -148,7 +158,7 @@ def grid_clusters(points: DataFrame, low: Sequence[float], high: Sequence[float]
     Level by level every dimension of a cell is halved (a coordinate above the middle is in the upper half).
     A cell with fewer points than least is sparse and dropped. It is dense, and kept whole, at the last layer or if
     it has more points than density times the mean of the cells of its level; other cells are halved again.
-    Dense cells that touch are one cluster, named by its smallest cell number.
+    Dense cells that touch are one cluster, named by its smallest point id.
     """
     dims = len(low)
     state = points.select("id", F.col("point").cast("array<double>").alias("point")).withColumn("path", F.array().cast("array<int>"))
@@ -189,4 +199,5 @@ def grid_clusters(points: DataFrame, low: Sequence[float], high: Sequence[float]
     for p in pairs:
         links = links.unionByName(p)
     found = components(links)
-    return cells.join(kinds, ["layer", "path"]).join(found, F.col("cell") == F.col("node")).select("id", F.col("component").alias("cluster"))
+    rows = stored(cells.join(kinds, ["layer", "path"]).join(found, F.col("cell") == F.col("node")).select("id", "component"), "members")
+    return rows.join(rows.groupBy("component").agg(F.min("id").alias("cluster")), "component").select("id", "cluster")

@@ -93,17 +93,17 @@ GROUP BY 1 ORDER BY 2 DESC, 1 DESC
 
 
 def q21(spark: SparkSession, sf_dir: str, nation: str = "NATION_15", n: int = 100) -> DataFrame:
-    """Suppliers of a nation who alone were late in orders of several suppliers."""
+    """Suppliers of a nation who alone were late in orders of several suppliers.
+
+    One aggregate of each order tells both: its smallest and largest supplier differ, those that were late do not.
+    """
     t = lambda n: table(spark, sf_dir, n)
     s = t("supplier").join(t("nation").where(F.col("n_name") == nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name")
-    lines = t("lineitem")
-    late = lines.where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("late"))
-    first = late.join(s, F.col("late") == F.col("s_suppkey")).join(t("orders").where(F.col("o_orderstatus") == "F").select("o_orderkey"), F.col("k") == F.col("o_orderkey"))
-    other = lines.select(F.col("l_orderkey").alias("k2"), F.col("l_suppkey").alias("s2"))
-    rows = semi(first, other, (F.col("k") == F.col("k2")) & (F.col("late") != F.col("s2")))
-    also = late.select(F.col("k").alias("k3"), F.col("late").alias("s3"))
-    rows = anti(rows, also, (F.col("k") == F.col("k3")) & (F.col("late") != F.col("s3")))
-    return rows.groupBy("s_name").agg(F.count(F.lit(1)).alias("numwait")).orderBy(F.desc("numwait"), "s_name").limit(n)
+    late = F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))
+    orders = t("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("least"), F.max("l_suppkey").alias("most"), F.min(late).alias("late"), F.max(late).alias("last"), F.count(late).alias("lines"))
+    alone = orders.where("late = last AND least != most").select("l_orderkey", "late", "lines")
+    rows = alone.join(s, F.col("late") == F.col("s_suppkey")).join(t("orders").where(F.col("o_orderstatus") == "F").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.groupBy("s_name").agg(F.sum("lines").alias("numwait")).orderBy(F.desc("numwait"), "s_name").limit(n)
 
 
 Q21 = """

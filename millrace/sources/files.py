@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -15,26 +14,34 @@ from millrace.operators.positions import with_positions
 from millrace.storage import ship
 
 
-def read_list_file(path: str) -> list[str]:
+def read_list_file(spark: SparkSession, path: str) -> list[str]:
     """One name a line, trimmed; lines that begin with # and empty lines do not count."""
-    with open(path) as f:
-        return [x for x in (line.strip() for line in f) if x and x[0] != "#"]
+    return [x for x in (r["value"].strip() for r in spark.read.text(path).collect()) if x and x[0] != "#"]
 
 
 def file_names(spark: SparkSession, names: Sequence[str], subdirectories: bool = False, list_file: bool = False) -> DataFrame:
-    """key: path, value: 0. Folders are entered only with subdirectories; dot files are left out; a missing name raises."""
+    """key: path, value: 0. Names are of any store that Spark reads. Folders are entered only with subdirectories;
+    dot files are left out; a missing name raises."""
+    conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     found: list[str] = []
-    for name in [x for n in names for x in read_list_file(n)] if list_file else names:
-        if os.path.isdir(name):
-            if not subdirectories:
-                raise ValueError(f"a folder, but subdirectories is not set: {name}")
-            for top, dirs, files in os.walk(name):
-                dirs[:] = sorted(d for d in dirs if d[0] != ".")
-                found += [os.path.join(top, f) for f in sorted(files) if f[0] != "."]
-        elif os.path.exists(name):
+
+    def enter(folder: str, files: Any) -> None:
+        inside = sorted((x.getPath().getName(), x.isDirectory()) for x in files.listStatus(path_of(folder)))
+        found.extend(f"{folder}/{name}" for name, is_folder in inside if name[0] != "." and not is_folder)
+        for name, is_folder in inside:
+            if name[0] != "." and is_folder:
+                enter(f"{folder}/{name}", files)
+
+    for name in [x for n in names for x in read_list_file(spark, n)] if list_file else names:
+        files = path_of(name).getFileSystem(conf)
+        if not files.exists(path_of(name)):
+            raise FileNotFoundError(name)
+        if not files.getFileStatus(path_of(name)).isDirectory():
             found.append(name)
+        elif subdirectories:
+            enter(name.rstrip("/"), files)
         else:
-            raise FileNotFoundError(name)
+            raise ValueError(f"a folder, but subdirectories is not set: {name}")
     return spark.createDataFrame([(x, 0) for x in found], "key string, value long")
 
 
@@ -57,12 +64,12 @@ def lines_of_text(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def file_lines(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """key: number of the line in the file from 0, value: the line with its newline. Splittable; limit 0 reads all."""
+    """key: number of the line in its file from 0, value: the line with its newline. Splittable; limit: so many lines of each file (0: all)."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    if limit:
-        raw = raw.limit(limit)
     out = with_positions(raw, "_file", "_block", "_id")
-    return out.select(F.col("pos").alias("key"), F.concat("value", F.lit("\n")).alias("value"))
+    first = out.groupBy("_file").agg(F.min("pos").alias("_first"))
+    out = out.join(first, "_file").select((F.col("pos") - F.col("_first")).alias("key"), F.concat("value", F.lit("\n")).alias("value"))
+    return out.where(F.col("key") < limit) if limit else out
 
 
 def text_chunks(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -71,24 +78,27 @@ def text_chunks(spark: SparkSession, path: str, separator: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, key_bytes: int = 10, record_bytes: int = 100) -> DataFrame:
-    """key and value of fixed-width records: the key's bytes, and the rest."""
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    n = F.floor(F.length("content") / record_bytes)
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("content"), (i * record_bytes + 1).cast("int"), F.lit(record_bytes)))
-    rows = raw.where(n > 0).select(F.explode(cut).alias("r"))
+    """key and value of fixed-width records: the key's bytes, and the rest. Files are split between records; no Python."""
+    jvm, session = spark._jvm, spark._jsparkSession
+    raw = session.createDataset(spark.sparkContext._jsc.binaryRecords(path, record_bytes).rdd(), jvm.org.apache.spark.sql.Encoders.BINARY())
+    rows = DataFrame(raw.toDF(), spark).toDF("r")
     return rows.select(F.substring("r", 1, key_bytes).alias("key"), F.substring("r", key_bytes + 1, record_bytes - key_bytes).alias("value"))
 
 
 def reassembled(spark: SparkSession, segments: DataFrame) -> DataFrame:
     """color, content: the bytes [offset, offset + bytes) of files, joined in rank order for each color.
 
-    segments: color, rank, path, offset, bytes (negative: to the end). What is joined must fit a row.
+    segments: color, rank, path, offset, bytes (negative: to the end). A missing file is an error. A file, and what
+    is joined, must fit a row (2 GB).
     """
-    files = spark.read.format("binaryFile").load([r["path"] for r in segments.select("path").distinct().limit(100_000).collect()])
-    files = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    paths = [r["path"] for r in segments.select("path").distinct().toLocalIterator()]
+    if not paths:
+        return segments.select("color", F.lit(b"").alias("content")).limit(0)
+    files = spark.read.format("binaryFile").load(paths).select(plain("path").alias("_path"), "content")
     size = F.when(F.col("bytes") < 0, F.length("content")).otherwise(F.col("bytes"))
     part = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), size.cast("int"))
-    rows = segments.join(files, "path").groupBy("color").agg(F.sort_array(F.collect_list(F.struct("rank", part.alias("part")))).alias("parts"))
+    rows = segments.join(files, plain("path") == F.col("_path")).groupBy("color").agg(F.sort_array(F.collect_list(F.struct("rank", part.alias("part")))).alias("parts"))
     return rows.select("color", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["part"])).alias("content"))
 
 

@@ -30,3 +30,10 @@ def split_file(df: DataFrame, path: str, n: int) -> None:
 def write_records(df: DataFrame, path: str) -> None:
     """Fixed-width records, key then value, as one hex line each, in key order."""
     df.orderBy("key").select(F.hex(F.concat("key", "value"))).write.text(path)
+
+
+def write_text_records(df: DataFrame, path: str, record_bytes: int = 100) -> None:
+    """Fixed-width records of ASCII text, key then value, filled up with blanks; the last byte is a newline. Longer rows fail the write."""
+    row = F.concat("key", "value")
+    fits = F.octet_length(row) < record_bytes
+    df.select(F.when(fits, F.rpad(row, record_bytes - 1, " ")).otherwise(F.raise_error(F.lit("record too long")))).write.text(path)

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans import analytics
@@ -38,6 +39,9 @@ def test_k_means(spark):
     stable, own = analytics.k_means(df, means, until_stable=True)
     again, _ = analytics.k_means(df, stable, rounds=1)
     assert again == stable
+    far, own = analytics.k_means(df, means, rounds=1, reach=100)
+    near = {i: min((sum((a - b) ** 2 for a, b in zip(p, far[k])), k) for k in range(3)) for i, p in pts}
+    assert {x["id"]: x["cluster"] for x in own.collect()} == {i: k if d < 100 else 0 for i, (d, k) in near.items()}
     real, _ = analytics.k_means(df, [[float(x) for x in m] for m in means], rounds=2, whole=False)
     assert all(isinstance(x, float) for m in real for x in m)
 
@@ -47,6 +51,8 @@ def test_random_graph(spark):
     rows = {tuple(r) for r in g.collect()}
     assert len(rows) == 96 and all(0 <= x < 32 for e in rows for x in e)
     assert rows == {tuple(r) for r in analytics.random_graph(spark, 5, 3, 0.5, 0.2, 0.2, 0.1, 0.1).collect()}
+    with pytest.raises(RuntimeError):
+        analytics.random_graph(spark, 2, 4, 1.0, 0.0, 0.0, 0.0, rounds=2)
 
 
 def test_pi(spark):

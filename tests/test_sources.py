@@ -33,7 +33,8 @@ def test_lines(spark, tmp_path):
     (tmp_path / "f").write_text("".join(f"line {i}\n" for i in range(25)))
     got = files.file_lines(spark, str(tmp_path / "f")).orderBy("key").collect()
     assert [(r["key"], r["value"]) for r in got] == [(i, f"line {i}\n") for i in range(25)]
-    assert files.file_lines(spark, str(tmp_path / "f"), limit=3).count() == 3
+    (tmp_path / "g").write_text("one\ntwo\n")
+    assert sorted(tuple(r) for r in files.file_lines(spark, str(tmp_path / "[fg]"), limit=3).collect()) == [(0, "line 0\n"), (0, "one\n"), (1, "line 1\n"), (1, "two\n"), (2, "line 2\n")]
     df = spark.createDataFrame([(1, "a\n\nb"), (2, ""), (3, "c\n")], "id long, text string")
     assert [tuple(r) for r in files.lines_of_text(df, "text", "id").orderBy("id", "line").collect()] == [(1, 0, "a\n"), (1, 1, "\n"), (1, 2, "b"), (3, 0, "c\n")]
 
@@ -46,6 +47,11 @@ def test_records_and_segments(spark, tmp_path):
     seg = spark.createDataFrame([(0, 1, str(tmp_path / "r"), 100, 50), (0, 0, str(tmp_path / "r"), 0, 100), (1, 0, str(tmp_path / "r"), 450, -1)], "color long, rank long, path string, offset long, bytes long")
     out = {r["color"]: bytes(r["content"]) for r in files.reassembled(spark, seg).collect()}
     assert out == {0: raw[:150], 1: raw[450:]}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.reassembled(spark, seg.withColumn("path", F.lit(str(tmp_path / "none")))).collect()
+    rows = spark.range(30).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.lit("v").alias("value"))
+    sinks.write_text_records(rows, str(tmp_path / "fixed"))
+    assert files.records(spark, str(tmp_path / "fixed") + "/part-*").count() == 30
 
 
 def test_edges_and_tables(spark, tmp_path):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.context import Context, options_of, parse_properties
 from millrace.functions import scalars
 from millrace.operators import external
-from millrace.operators.lanes import Item, parse_lanes, run_lanes
+from millrace.operators.lanes import History, Item, lane_names, parse_lanes, run_lanes
 from millrace.operators.resume import Run
 from millrace.operators.trace import Trace
 
@@ -95,17 +95,60 @@ def test_resume(spark):
     for _ in range(2):
         run = Run(spark, "resume-test", {"a": 1})
         assert run.step("one", make(3)).count() == 3 and run.step("two", make(4)).count() == 4
-    assert calls == [3, 4] and run.skipped == 2
+    assert run.skipped == 2
+    other = Run(spark, "resume-test", {"a": 1})
+    assert other.step("one", make(5)).count() == 5 and other.step("two", make(4)).count() == 4 and other.skipped == 0
     changed = Run(spark, "resume-test", {"a": 2})
     changed.step("one", make(5))
-    assert calls[-1] == 5
+    assert changed.skipped == 0
     changed.clear()
 
 
+def test_resume_sees_changed_files(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for n, skipped in ((3, 0), (3, 1), (7, 0)):
+        if not skipped:
+            spark.range(n).write.mode("overwrite").parquet(path)
+        run = Run(spark, "resume-files")
+        assert run.step("rows", lambda: spark.read.parquet(path).where("id >= 0")).count() == n and run.skipped == skipped
+    run.clear()
+
+
+def test_retries_and_workers(spark, tmp_path):
+    flag = tmp_path / "flag"
+    tasks = spark.createDataFrame([(0, f"test -e {flag} || {{ touch {flag}; false; }}"), (1, "true"), (2, "false")], "key long, value string")
+    out = external.run_commands(tasks, slots=1, shell=True, retries=2).collect()
+    assert {r["task"]: (r["code"], r["tries"]) for r in out} == {0: (0, 2), 1: (0, 1), 2: (1, 3)}
+    report = external.worker_report(external.run_commands(tasks, slots=1, shell=True)).collect()
+    assert [(r["worker"], r["jobs"], r["failed"], r["tries"]) for r in report] == [(0, 3, 1, 3)] and report[0]["seconds"] > 0
+
+
+def test_pipes_stream(spark):
+    """Far more lines than a pipe holds go through; a program that stops reading, and one that fails, end as they should."""
+    lines = spark.range(0, 200_000, 1, 2).select(F.concat(F.lit("line "), "id").alias("value"))
+    assert external.pipe_map(lines, "cat").count() == 200_000
+    assert external.pipe_map(lines, "head -n 1").count() == 2
+    with pytest.raises(Exception, match="failed with 3"):
+        external.pipe_map(lines, "sh -c 'exit 3'").count()
+
+
+def test_lane_history(spark):
+    history = History([], {})
+    run_lanes(spark, "2.2", [Item(x, lambda: None) for x in ("0.0", "0", "1.1", "0.0")], history)
+    assert sorted(history.order) == [0, 1, 2, 3] and history.by_lane() == {"0.0": [0, 1, 3], "0.1": [1], "1.1": [2]}
+    assert lane_names("2.2") == ["0.0", "0.1", "1.0", "1.1"]
+
+
+def test_many_options(spark):
+    with pytest.raises(ValueError):
+        options_of(spark.range(10_001).selectExpr("string(id) key", "string(id) value"))
+
+
 def test_trace(spark):
     t = Trace()
-    t.watch(spark.range(10), "ids", most=F.max("id")).collect()
-    assert [(x["step"], x["rows"], x["most"]) for x in t.report()] == [("ids", 10, 9)]
+    with t.timed("ids"):
+        t.watch(spark.range(10), "ids", most=F.max("id")).collect()
+    assert [(x["step"], x["rows"], x["most"], x["seconds"] > 0) for x in t.report()] == [("ids", 10, 9, True)]
 
 
 def test_context(spark):
