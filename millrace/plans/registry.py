@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars
 from millrace.operators import external, positions, tuples
 from millrace.operators.pairs import Pairs
-from millrace.plans import analytics, relational
+from millrace.plans import analytics, relational, workflows
 from millrace.plans.tables import table
 from millrace.sources.files import lines_of_text
 from millrace.streaming import events as streams
@@ -55,7 +55,10 @@ def kv_wordcount_top(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(r"SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[\s.,;()<>/0-9" + '"' + r"-]+'), lambda x: x <> '')) AS word FROM documents) GROUP BY 1 ORDER BY 1 LIMIT 10")
 def kv_wordfreq_combine(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.word_counts(table(spark, sf, "documents"), "text", "marks").orderBy("word").limit(10)
+    """Counts of each partition are combined before the shuffle."""
+    words = table(spark, sf, "documents").select(F.explode(scalars.words_between_marks(F.col("text"))).alias("word"), F.lit(1).cast("long").alias("n"))
+    combined = Pairs.of(words, "word", "n").combine(lambda word, ns: [(word, sum(ns))], "string", "long")
+    return combined.reduce(F.sum("value")).df.toDF("word", "n").orderBy("word").limit(10)
 
 
 @_query("SELECT o_orderkey AS key, o_custkey AS value FROM orders")
@@ -129,7 +132,9 @@ def kv_combine_shuffle_reduce(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT CAST(sum(o_orderkey) AS BIGINT) AS total, max(o_orderkey) AS most, count(*) AS n FROM orders")
 def kv_reduce_as_one(spark: SparkSession, sf: str) -> DataFrame:
-    return _orders(spark, sf).df.agg(F.sum("value").alias("total"), F.max("value").alias("most"), F.count(F.lit(1)).alias("n"))
+    """One aggregate over all pairs, whatever their keys."""
+    found = _orders(spark, sf).reduce_all(F.struct(F.sum("value").alias("total"), F.max("value").alias("most"), F.count(F.lit(1)).alias("n")))
+    return spark.createDataFrame([tuple(found)], "total long, most long, n long")
 
 
 @_query("SELECT o_custkey AS key, list_sort(list(o_orderkey))[1] AS least, CAST(len(list(o_orderkey)) AS INTEGER) AS n FROM orders GROUP BY 1")
@@ -336,26 +341,100 @@ def matmul(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.multiplied(a, cells.withColumn("value", (F.col("row") * 5 + F.col("col")) % 13 - 6))
 
 
-@_query()
+_STABLE = 40  # rounds of the SQL; the query ends when no point moves
+
+
+@_query(
+    "WITH p AS MATERIALIZED (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS x, CAST(floor(p_retailprice) AS BIGINT) AS y FROM part), "
+    + f"{_M0}, {', '.join(_STEP.format(k=k, n=k + 1).replace(' AS (', ' AS MATERIALIZED (') for k in range(_STABLE))} SELECT id, CAST(cluster AS INTEGER) AS cluster FROM a{_STABLE - 1}"
+)
+def kmeans_stable(spark: SparkSession, sf: str) -> DataFrame:
+    """Until no point changes its cluster."""
+    points = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("long"), F.floor("p_retailprice")).alias("point"))
+    return analytics.k_means(points, _MEANS, until_stable=True)[1].select("id", "cluster")
+
+
+_FLOAT = """a{k} AS (SELECT id, x, y, CASE WHEN min((x - a) * (x - a) + (y - b) * (y - b)) < 2500 THEN arg_min(i, (x - a) * (x - a) + (y - b) * (y - b)) ELSE 0 END AS cluster FROM p, m{k} GROUP BY id, x, y),
+m{n} AS (SELECT i, coalesce(sx / c, a) AS a, coalesce(sy / c, b) AS b FROM m{k} LEFT JOIN (SELECT cluster, sum(x) AS sx, sum(y) AS sy, count(*) AS c FROM a{k} GROUP BY 1) ON i = cluster)"""
+
+
+@_query(
+    "WITH p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), m0 AS (SELECT i, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM (VALUES "
+    + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(_MEANS))
+    + f") t(i, a, b)), {_FLOAT.format(k=0, n=1)}, {_FLOAT.format(k=1, n=2)}, {_FLOAT.format(k=2, n=3)} SELECT id, CAST(cluster AS INTEGER) AS cluster FROM a2"
+)
+def kmeans_float(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of floats; points that no mean reaches belong to the first."""
+    points = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("point"))
+    means = [[float(x) for x in m] for m in _MEANS]
+    return analytics.k_means(points, means, rounds=2, whole=False, reach=2500.0)[1].select("id", "cluster")
+
+
+def _uniform(*parts: str) -> str:
+    return f"(CAST('0x' || substr(md5({" || ':' || ".join(parts)}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+_DRAWS = ", ".join(f"{_uniform("'1234'", 'k', 'id', '(n + 1)', f"'{q}'")} AS u{q}" for q in range(5))
+_PARTS = ", ".join(f"{x} * (1 + 0.1::DOUBLE * (u{q} - 0.5::DOUBLE)) AS p{x}" for q, x in enumerate("abcd", 1))
+
+
+@_query(
+    f"""WITH RECURSIVE s AS (SELECT k, id, 0 AS n, 0::BIGINT AS i, 0::BIGINT AS j, 0.57::DOUBLE AS a, 0.19::DOUBLE AS b, 0.19::DOUBLE AS c, 0.05::DOUBLE AS d FROM range(12) t(k), range(1024) u(id)
+UNION ALL
+SELECT k, id, n + 1, i * 2 + CASE WHEN u0 < a + b THEN 0 ELSE 1 END, j * 2 + CASE WHEN u0 >= a AND u0 < a + b OR u0 >= a + b + c THEN 1 ELSE 0 END,
+       pa / (pa + pb + pc + pd), pb / (pa + pb + pc + pd), pc / (pa + pb + pc + pd), pd / (pa + pb + pc + pd)
+FROM (SELECT *, {_PARTS} FROM (SELECT *, {_DRAWS} FROM s WHERE n < 8))),
+first AS (SELECT i, j, min(k) AS k FROM s WHERE n = 8 GROUP BY i, j),
+enough AS (SELECT min(k) AS k FROM (SELECT k, sum(count(*)) OVER (ORDER BY k) AS found FROM first GROUP BY k) WHERE found >= 1024)
+SELECT i AS "from", j AS "to" FROM first WHERE k <= (SELECT k FROM enough) ORDER BY md5(i || ':' || j), i, j LIMIT 1024"""
+)
 def rmat(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.random_graph(spark, 8, 4, 0.57, 0.19, 0.19, 0.05, 0.1, seed=1234)
 
 
-@_query()
+@_query(f"SELECT count(*) AS points, CAST(sum(inside) AS BIGINT) AS inside, 4 * sum(inside)::DOUBLE / count(*) AS pi FROM (SELECT CASE WHEN x * x + y * y <= 1 THEN 1 ELSE 0 END AS inside FROM (SELECT {_uniform("'1'", "'0'", 'id')} AS x, {_uniform("'1'", "'1'", 'id')} AS y FROM range(1000000) t(id)))")
 def mc_pi(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.pi_estimate(spark, 1_000_000)
 
 
-@_query()
+_AXIS = "CAST(least(greatest(ceil(({v} - {lo}) / {width}::DOUBLE * {cells}) - 1, 0), {cells} - 1) AS INTEGER)"
+
+
+def _layer(k: int) -> str:
+    """Points of a layer with their cells, and which cells are dense."""
+    x, y = (_AXIS.format(v=v, lo=lo, width=width, cells=1 << k) for v, lo, width in (("x", 0, 51), ("y", 800, 1400)))
+    above = "p" if k == 1 else f"(SELECT s{k - 1}.id, s{k - 1}.x, s{k - 1}.y FROM s{k - 1} JOIN c{k - 1} USING (i, j) WHERE NOT dense)"
+    return f"""s{k} AS MATERIALIZED (SELECT id, x, y, {x} AS i, {y} AS j FROM {above}),
+n{k} AS MATERIALIZED (SELECT i, j, count(*) AS n FROM s{k} GROUP BY i, j HAVING count(*) >= 3),
+c{k} AS MATERIALIZED (SELECT i, j, {"TRUE" if k == 4 else f"n > floor(2.0 * (SELECT avg(n) FROM n{k}))"} AS dense FROM n{k})"""
+
+
+_TOUCH = " UNION ALL ".join(
+    f"SELECT f.cell AS a, c.cell AS b FROM kinds f JOIN kinds c ON c.layer = f.layer - {up} AND c.i = (f.i >> {up}) + {di} AND c.j = (f.j >> {up}) + {dj} WHERE f.layer > {up} AND ({edge.format(w=1 << up)})"
+    for up in range(4)
+    for di, dj, edge in ((-1, 0, "f.i % {w} = 0"), (1, 0, "(f.i + 1) % {w} = 0"), (0, -1, "f.j % {w} = 0"), (0, 1, "(f.j + 1) % {w} = 0"))
+)
+
+
+@_query(
+    f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), {", ".join(_layer(k) for k in (1, 2, 3, 4))},
+cells AS MATERIALIZED ({" UNION ALL ".join(f"SELECT id, {k} AS layer, i, j FROM s{k} JOIN c{k} USING (i, j) WHERE dense" for k in (1, 2, 3, 4))}),
+kinds AS MATERIALIZED (SELECT layer, i, j, row_number() OVER () AS cell FROM (SELECT DISTINCT layer, i, j FROM cells)),
+touch AS MATERIALIZED ({_TOUCH}),
+links AS MATERIALIZED (SELECT a, b FROM touch UNION SELECT b, a FROM touch),
+reach AS (SELECT cell AS a, cell AS b FROM kinds UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+root AS (SELECT a AS cell, min(b) AS root FROM reach GROUP BY a)
+SELECT id, min(id) OVER (PARTITION BY root) AS cluster FROM cells JOIN kinds USING (layer, i, j) JOIN root USING (cell)"""
+)
 def grid_clusters(spark: SparkSession, sf: str) -> DataFrame:
     points = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("point"))
     return analytics.grid_clusters(points, [0, 800], [51, 2200], 4, 3, 2.0)
 
 
-@_query()
+@_query("SELECT CAST(r_regionkey AS BIGINT) AS task, 'echo ' || r_name AS command, 0 AS code, r_name || chr(10) AS stdout, '' AS stderr FROM region")
 def command_farm(spark: SparkSession, sf: str) -> DataFrame:
     tasks = table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.concat(F.lit("echo "), F.col("r_name")).alias("value"))
-    return external.run_commands(tasks, slots=4)
+    return external.run_commands(tasks, slots=4).select("task", "command", "code", "stdout", "stderr")
 
 
 # extras: set operations, roll-ups, windows over the events
@@ -387,8 +466,8 @@ def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | workflows.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | workflows.oracle_sql()
