@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann_multi_index, bpe_trie, chat_quotes, html_extract, language_id, mixing, near_dedup, quality_rules, suffix_dedup, token_store
+from millrace.llm import ann_multi_index, bpe_trie, chat_quotes, html_extract, language_id, mixing, near_dedup, oracles, quality_rules, suffix_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op4_mixing": mixing.SQL, "op6_chat_quotes": chat_quotes.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op4_mixing": mixing.SQL, "op5_near_dedup": oracles.NEAR_DEDUP, "op6_chat_quotes": chat_quotes.SQL, "op8_suffix_dedup": oracles.SUFFIX_DEDUP}
