@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import ann_multi_index, chat_quotes, mixing, near_dedup, shingles, suffix_dedup
+from millrace.operators import positions
 
 
 def words(r, n, alphabet="abcdeéß"):
@@ -23,12 +24,12 @@ def table(spark, rows):
 # near duplicates
 
 
-def brute_groups(rows):
+def brute_groups(rows, size=4):
     import re
 
     def shingle_set(x):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
-        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} - {()}
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
 
     sets = [shingle_set(x) for _, x in rows]
     group = {i: i for i, _ in rows}
@@ -182,19 +183,26 @@ def test_sketch_estimates_similarity():
 # repeated strings
 
 
-def brute_removal(rows):
-    seen, out = {}, {}
+def brute_marks(rows):
+    """Of each document its bytes, and which of them go."""
+    seen = set()
     for d, t in sorted(rows, key=lambda x: x[0]):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - 99):
             if b[i : i + 100] in seen:
                 gone[i : i + 100] = b"\1" * 100
-            else:
-                seen[b[i : i + 100]] = 1
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        out[d] = (len(b), sum(gone), sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest())
-    return out
+            seen.add(b[i : i + 100])
+        yield d, b, gone
+
+
+def brute_kept(rows):
+    return {d: bytes(x for x, g in zip(b, gone) if not g) for d, b, gone in brute_marks(rows)}
+
+
+def brute_removal(rows):
+    kept = brute_kept(rows)
+    return {d: (len(b), sum(gone), sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1])), hashlib.sha256(kept[d]).hexdigest()) for d, b, gone in brute_marks(rows)}
 
 
 def passages(seed):
@@ -584,12 +592,91 @@ def test_pipeline(spark):
     assert out.count() == mixed.count() and mixed.columns == docs.columns
 
 
+def brute_copies(rows, power=0.5, seed=0):
+    """Of each row (doc_id, source): how often it is repeated."""
+    import math
+
+    n = {}
+    for _, source in rows:
+        n[source] = n.get(source, 0) + 1
+    weights = {k: v**power for k, v in n.items()}
+    out = {}
+    for doc, source in rows:
+        rate = weights[source] / sum(weights.values()) * len(rows) / n[source]
+        draws = max(1, math.ceil(rate / mixing.LARGEST_MEAN))
+        out[doc] = 0
+        for k in range(draws):
+            u, p, cdf, mean = int(hashlib.md5(f"{seed}:{doc}:{k}".encode()).hexdigest()[:13], 16) / 2**52, math.exp(-rate / draws), 0.0, rate / draws
+            for j in range(mixing.TABLE + 1):
+                cdf += p
+                if cdf <= u:
+                    out[doc] += 1
+                p *= mean / (j + 1)
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages over documents of three languages with junk, copies, shared passages and a hot source."""
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    from collections import Counter
+
+    import corpus_pipeline
+    from millrace.llm import registry
+    from tests.llm.test_text_operators import brute_language, brute_model
+
+    r = random.Random(12)
+    vocab = {g: words(r, 80, a) for g, a in (("en", "abcdefgh"), ("de", "äöüstnr"), ("fr", "éèlmop"))}
+    passage = " ".join(r.choice(vocab["en"]) for _ in range(70))
+    texts = []
+    for i in range(70):
+        g = r.choice(sorted(vocab))
+        own = [r.choice(vocab[g]) for _ in range(r.randint(40, 120))]
+        if i % 9 == 4:
+            own[10:10] = [passage]
+        if i % 7 == 3 and texts:
+            own = texts[-1][1].split()
+            own[r.randrange(len(own))] = "odd"
+        texts.append((i, " ".join(own), g if i % 5 else None, "hot" if i % 3 else f"s{i % 4}"))
+    texts += [(100, texts[0][1], "en", "hot"), (101, "123 456 !", None, "hot"), (102, None, None, None), (103, "", "en", "hot"), (104, passage, "en", "solo")]
+    docs = spark.createDataFrame([t + (len(t[1] or ""),) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((x["doc_id"], x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    model = brute_model([(t, g) for _, t, g, _ in texts])
+    left = [x for x in texts if (found := brute_language(model, x[1]))[0] != "und" and found[1] >= 0.3]
+    groups = brute_groups([(i, t) for i, t, _, _ in left], 5)
+    left = [x for x in left if groups[x[0]][1] == x[0]]
+    kept = brute_kept([(i, t) for i, t, _, _ in left])
+    left = [(i, kept[i].decode(errors="ignore"), s) for i, _, _, s in left]
+    left = [x for x in left if x[1]]
+    copies = brute_copies([(i, s) for i, _, s in left])
+    library = tokenizers.Tokenizer.from_file(registry.default_tokenizer())
+    want = Counter()
+    for i, text, _ in left:
+        ids = library.encode(text, add_special_tokens=False).ids
+        if copies[i]:
+            want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += copies[i]
+    assert len(left) < len(texts) - 10 and sum(want.values()) > 30
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["op3_quality_rules", "op4_mixing", "op6_chat_quotes"])
-def test_native_plans_run_no_python(spark, name, tmp_path):
+def test_native_plans_run_no_python(spark, name, monkeypatch):
+    """Neither the query's plan nor that of a table it stores on the way has Python."""
     from millrace.llm import registry
+    from tests.test_queries import SF
+
+    plans = []
+    keep = mixing.stored
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(df, name):
+        plans.append(plan_of(df))
+        return keep(df, name)
 
-    spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, 0, "a", "x")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    df = registry.queries()[name](spark, str(tmp_path))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    for module in (mixing, chat_quotes, positions):
+        monkeypatch.setattr(module, "stored", watched)
+    plans.append(plan_of(registry.queries()[name](spark, SF)))
+    assert len(plans) >= {"op3_quality_rules": 1, "op4_mixing": 3, "op6_chat_quotes": 6}[name]
+    assert not any(x in p for p in plans for x in ("Python", "Pandas", "Arrow"))

@@ -246,6 +246,97 @@ def test_language_accuracy(spark):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def brute_model(rows):
+    """Languages and, for each trigram slot, the log probability of every language."""
+    import numpy as np
+
+    counts = {}
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            for word in brute_slots(text):
+                for g in word:
+                    counts.setdefault(lang, {}).setdefault(g, 0)
+                    counts[lang][g] += 1
+    names = sorted(counts)
+    kinds = len({g for own in counts.values() for g in own})
+    log = lambda lang, g: float(np.float32(np.log((counts[lang].get(g, 0) + 0.1) / (sum(counts[lang].values()) + 0.1 * kinds))))
+    return names, log
+
+
+def brute_slots(text):
+    """Trigram slots of each word."""
+    raw = b" " + bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in text.lower().encode()) + b" "
+    words, own = [], []
+    for i in range(1, len(raw) - 1):
+        if raw[i] != 0x20:
+            if raw[i - 1] == 0x20:
+                own = []
+                words.append(own)
+            own.append(((raw[i - 1] | raw[i] << 8 | raw[i + 1] << 16) * 2654435761 & 0xFFFFFFFF) >> 16)
+    return words
+
+
+def brute_language(model, text):
+    """Prediction, score and language set of one text, by plain expectation-maximisation."""
+    import math
+
+    names, log = model
+    words = [[sum(log(x, g) for g in w) for x in names] for w in brute_slots(text or "")]
+    if not words or not names or not any(map(str.isalpha, text)):
+        return "und", 0.0, []
+    best_of = [max(w) for w in words]
+    likely = [[math.exp(max(v - m, -60)) for v in w] for w, m in zip(words, best_of)]
+
+    def fit(share):
+        for _ in range(language_id.ROUNDS):
+            parts = [[p * s for p, s in zip(w, share)] for w in likely]
+            share = [sum(p[k] / sum(p) for p in parts if sum(p)) / len(words) for k in range(len(names))]
+        return share, sum(math.log(max(sum(p * s for p, s in zip(w, share)), 1e-300)) + m for w, m in zip(likely, best_of))
+
+    single = [sum(w[k] for w in words) for k in range(len(names))]
+    at = single.index(max(single))
+    share, value, score = [float(k == at) for k in range(len(names))], single[at], 1 / sum(math.exp(x - single[at]) for x in single)
+    full, _ = fit([1 / len(names)] * len(names))
+    order = sorted(range(len(names)), key=lambda k: (-full[k], k))
+    for size in range(2, len(names) + 1):
+        among = [full[k] + 1e-12 if k in order[:size] else 0.0 for k in range(len(names))]
+        new, total = fit([x / sum(among) for x in among])
+        total -= (size - 1) * (language_id.PENALTY + 0.5 * math.log(len(words)))
+        if total <= value:
+            break
+        share, value = new, total
+        score = max(share)
+    return names[share.index(max(share))], min(max(score, 0), 1), sorted(names[k] for k in range(len(names)) if share[k] > 0.01)
+
+
+def test_mixtures_equal_plain_em(spark):
+    """Texts of one to four languages: no number of languages is left out."""
+    r = random.Random(8)
+    more = WORDS | {"xx": [w[::-1] + "q" for w in WORDS["de"]], "yy": ["z" + w.swapcase() for w in WORDS["fr"]]}
+    rows = [(i, " ".join(r.choice(more[g]) for _ in range(30)), g) for i, g in enumerate(sorted(more) * 20)]
+    texts = [" ".join(r.choice(more[g]) for g in r.sample(sorted(more), n) for _ in range(r.randint(20, 40))) for n in (1, 1, 2, 2, 3, 3, 4, 4, 5) for _ in range(2)] + ["", None, "12", "the"]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {x["doc_id"]: x for x in language_id.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    plain, sizes = brute_model([(t, g) for _, t, g in rows]), set()
+    for i, text in enumerate(texts):
+        lang, score, among = brute_language(plain, text)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-6 and sorted(got[i]["lang_set"]) == among, text
+        sizes.add(len(among))
+    assert sizes >= {0, 1, 2, 3, 4}
+
+
+def test_many_languages(spark, monkeypatch):
+    """More languages than the model has room for share slots."""
+    monkeypatch.setattr(language_id, "MODEL", 1 << 17)
+    r = random.Random(1)
+    vocab = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(6)] for k in range(600)}
+    rows = [(i, " ".join(r.choice(vocab[g]) for _ in range(12)), g) for i, g in enumerate(sorted(vocab) * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.table.shape == (128, 600)
+    assert language_id.identified(docs, model).where("lang_pred = lang").count() > 600
+
+
 def test_mixtures_and_odd_texts(spark):
     docs = spark.createDataFrame(make_texts(400, 6), "doc_id long, text string, lang string")
     model = language_id.train(docs)
