@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.chunks import PieceEncoder
+from millrace.llm.chunks import PieceEncoder, Recent
 from millrace.llm.common import lean, ship, small_batches
 
 #: Pre-token pattern of the byte-level family (fixed value).
@@ -43,7 +43,7 @@ def byte_symbols() -> dict[str, int]:
 class TrieBPE:
     """The tokenizer of one file."""
 
-    def __init__(self, tokenizer_path: str, pairs_bound: int = 300_000):
+    def __init__(self, tokenizer_path: str, pairs_bound: int = 800_000):
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
         self.path, symbols = tokenizer_path, byte_symbols()
@@ -63,8 +63,7 @@ class TrieBPE:
             self.merge[vocab[a], vocab[b]] = rank, vocab[a + b]
         self.single = [self.id_of[bytes([b])] for b in range(256)]
         self.longest = max(map(len, self.id_of))
-        self.valid: dict[int, bool] = {}
-        self.pairs_bound, self.find = pairs_bound, regex.compile(PATTERN).findall
+        self.valid, self.find = Recent(pairs_bound), regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda x: [x]
         self.library = None
 
@@ -97,17 +96,16 @@ class TrieBPE:
                 known = False
             else:
                 known = self._merged((self.bytes_of[left] if left >= 0 else b"") + self.bytes_of[right]) == ([left, right] if left >= 0 else [right])
-            if len(self.valid) >= self.pairs_bound:
-                self.valid.clear()
-            self.valid[key] = known
+            self.valid.put(key, known)
         return known
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of distinct byte strings that hold one pre-token each."""
         out: dict[bytes, bytes] = {}
-        id_of, fits, longest, known = self.id_of, self._fits, self.longest, self.valid.get
+        id_of, fits, longest = self.id_of, self._fits, self.longest
         path, last, size = b"", [], []  # of the node at depth k + 1: its last token and that token's length
         for word in sorted(words):
+            known, older = self.valid.young.get, self.valid.old.get
             k, most = 0, min(len(word), len(path))
             while k < most and word[k] == path[k]:
                 k += 1
@@ -117,7 +115,10 @@ class TrieBPE:
                     token = id_of.get(word[end - n : end])
                     if token is not None:
                         before = last[end - n - 1] if end > n else -1
-                        ok = known(before * 1048576 + token)
+                        key = before * 1048576 + token
+                        ok = known(key)
+                        if ok is None:
+                            ok = older(key)
                         if fits(before, token) if ok is None else ok:
                             last.append(token)
                             size.append(n)
@@ -179,7 +180,7 @@ def trie_encoder(tokenizer_path: str) -> tuple[TrieBPE, PieceEncoder]:
 def _rows(tokenizer_path: str, keep: list[str], full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = trie_encoder(tokenizer_path)
-        for batch in small_batches(batches, "text", 2 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             flat, n = encoder.encode(batch.column("text"))
             raw, ends = flat.tobytes(), 4 * np.cumsum(n)
             ids = [raw[a:b] for a, b in zip((ends - 4 * n).tolist(), ends.tolist())]

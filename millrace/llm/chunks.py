@@ -26,28 +26,53 @@ _BLANKS = "\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{
 _ODD = f"^\\x01?$|^\\x01?[{_BLANKS}]|[{_BLANKS}]$"
 
 
+class Recent:
+    """What was used last, of a bounded size: of two halves the older goes when the younger is full, so frequent keys stay."""
+
+    def __init__(self, bound: int):
+        self.half, self.young, self.old = bound // 2, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        self.update({key: value})
+
+    def update(self, found: dict) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young.update(found)
+
+
 class PieceEncoder:
     """Encodes columns of texts to ids. encode_many gives the ids, as bytes, of texts not seen lately.
 
-    bound: parts that are remembered between batches; at the bound memory starts anew, and the
-    frequent parts are back after a batch.
+    bound: parts that are remembered between batches.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], bound: int = 200_000):
-        self.encode_many, self.bound, self.known = encode_many, bound, {}
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], bound: int = 400_000):
+        self.encode_many, self.known = encode_many, Recent(bound)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         """Of distinct parts; those without the mark have a space before them."""
-        ids = list(map(self.known.get, parts))
+        known = self.known
+        ids = list(map(known.young.get, parts))
         gaps = [k for k, x in enumerate(ids) if x is None]
+        if gaps and known.old:
+            again = list(map(known.old.get, (parts[k] for k in gaps)))
+            known.update({parts[k]: x for k, x in zip(gaps, again) if x is not None})
+            for k, x in zip(gaps, again):
+                ids[k] = x
+            gaps = [k for k, x in zip(gaps, again) if x is None]
         if gaps:
-            if len(self.known) + len(gaps) > self.bound:
-                self.known.clear()
-            texts = [x[1:] if x[:1] == BARE else " " + x for x in (parts[k] for k in gaps)]
-            for k, x in zip(gaps, self.encode_many(texts), strict=True):
+            new = [parts[k] for k in gaps]
+            found = self.encode_many([x[1:] if x[:1] == BARE else " " + x for x in new])
+            for k, x in zip(gaps, found, strict=True):
                 ids[k] = x
-                if len(parts[k]) <= LONGEST:
-                    self.known[parts[k]] = x
+            known.update({p: x for p, x in zip(new, found) if len(p) <= LONGEST})
         return ids
 
     def _odd(self, texts: list[str]) -> list[bytes]:

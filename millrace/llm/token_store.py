@@ -70,7 +70,7 @@ def library_encoder(tokenizer_path: str) -> PieceEncoder:
             """Parts behind a space are encoded in one call, and so are bare ones, with a line end before each."""
             out = [b""] * len(texts)
             behind = [i for i, x in enumerate(texts) if x[:1] == " " and " " not in x[1:] and not x[-1].isspace()]
-            bare = [i for i, x in enumerate(texts) if x and not any(c.isspace() for c in x) and x not in special]
+            bare = [i for i, x in enumerate(texts) if x.split() == [x] and x not in special]
             for some, mark, starts in ((behind, "", spaced), (bare, "\n", newline)):
                 for lo in range(0, len(some), 20_000):
                     part = some[lo : lo + 20_000]
@@ -87,7 +87,7 @@ def library_encoder(tokenizer_path: str) -> PieceEncoder:
 def _encode(tokenizer_path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, part = library_encoder(tokenizer_path), 0, TaskContext.get().partitionId()
-        for batch in small_batches(batches, "text", 2 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             ids, n = encoder.encode(batch.column("text"))
             own, n = np.cumsum(n), n + 1
             ends = np.cumsum(n)
