@@ -118,6 +118,7 @@ def verified(pairs: DataFrame, kin: DataFrame, words: int = WORDS) -> DataFrame:
     sized = merged(sized, size.select(F.col("node").alias("b"), F.col("n_shingles").alias("_b")), ["b"])
     sized = stored(sized.where(100 * F.least("_a", "_b") >= PERCENT * F.greatest("_a", "_b")).select("a", "b", F.col("_a").alias("weight")), "sized")
     groups = sized.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("weight") / WEIGHT)).cast("int").alias("groups"))
+    groups = stored(groups, "groups")  # a join with an aggregate could not split a hot centre
     sent = merged(sized, groups, ["b"]).select(F.col("a").alias("node"), F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("place"))
     centres = groups.select(F.col("b").alias("node"), F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("place"))
     wanted = merged(sent.unionByName(centres), kin.select("node", "text"), ["node"])
@@ -216,7 +217,7 @@ def dealt(members: DataFrame) -> DataFrame:
         blocks(F.col("lead.rows"), F.col("lead.weight")).alias("p"),
         blocks(F.col("rows") - F.col("lead.rows"), F.col("weight") - F.col("lead.weight")).alias("q"),
     )
-    rows = merged(members, whole, ["family"])
+    rows = merged(members, stored(whole, "whole-families"), ["family"])  # stored, so that a hot family can be split
     hashed, first = F.xxhash64("node"), F.col("component") == F.col("lead")
     rows = rows.withColumn("own", F.when(first, F.pmod(hashed, F.col("p"))).otherwise(F.pmod(hashed, F.col("q"))).cast("int"))
     cell = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.cast("int").alias("i"), j.cast("int").alias("j"))

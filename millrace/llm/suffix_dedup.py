@@ -394,7 +394,7 @@ def repeated(docs: DataFrame, full: bool) -> DataFrame:
     claims = own.keep(claims.drop("shift"), "claims")
     own.drop(met)
     ranges = claims.select(F.col("origin").alias("number"), F.struct(F.col("from").alias("start"), F.col("to").alias("stop")).alias("x")).groupBy("number").agg(F.collect_set("x").alias("ranges"))
-    shared = first.groupBy("kmer").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    shared = own.keep(first.groupBy("kmer").agg(F.count("*").alias("contexts")).where("contexts > 1"), "shared")  # aggregates are stored before joins, so that hot keys can be split
     edges = merged(first.select("kmer", "at"), shared, ["kmer"]).select(F.col("at.number").alias("number"), F.struct(F.col("at.pos").alias("pos"), "kmer", (F.col("contexts") > MANY).alias("many")).alias("x"))
     firsts = edges.groupBy("number").agg(F.collect_list("x").alias("firsts"))
     asked = claims.select("number").distinct().withColumn("claimed", F.lit(True))
@@ -408,10 +408,11 @@ def repeated(docs: DataFrame, full: bool) -> DataFrame:
     contexts = own.keep(contexts, "edges")
     spans = contexts.where("NOT many").drop("many").repartition("kmer").sortWithinPartitions("kmer", "number", "pos").mapInArrow(lean(_sorted_groups), "number long, start int, stop int")
     many = contexts.where("many").select("kmer", "number", "pos", "bytes", "before")
-    leads = many.groupBy("kmer").agg(F.min(F.struct("number", "pos", "bytes", "before")).alias("lead"))
+    leads = own.keep(many.groupBy("kmer").agg(F.min(F.struct("number", "pos", "bytes", "before")).alias("lead")), "leads")
     strings = merged(many, leads, ["kmer"]).mapInArrow(lean(_strings), "h1 long, h2 long, number long, start int, stop int")
     strings = own.keep(strings.distinct(), "strings")
     origin = strings.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("number", "start")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
+    origin = own.keep(origin, "origins")
     more = merged(strings, origin, ["h1", "h2"]).where((F.col("number") != F.col("at.number")) | (F.col("start") != F.col("at.start"))).select("number", "start", "stop")
     spans = spans.unionByName(strings.where("h1 IS NULL").select("number", "start", "stop")).unionByName(more)
     marked = spans.groupBy("number").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
