@@ -1,4 +1,10 @@
-"""A training-data pipeline over documents: five stages, each one operator's decision on what came before."""
+"""A training-data pipeline over documents: five stages, each one operator's decision on what came before.
+
+Defined results: a null or empty text has no language and goes in the first stage; rows of one doc_id with unlike texts are
+documents of their own, equal rows one document that is kept or dropped with all its rows; rows with a null doc_id are never
+duplicates and lose no text; a null source is a source of its own; other columns pass through every stage but the last, whatever
+their names (those that begin with _mr_ are the library's own); an empty table gives an empty one in every stage.
+"""
 
 from __future__ import annotations
 
