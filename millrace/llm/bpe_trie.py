@@ -173,7 +173,7 @@ _encoders: dict[str, tuple[TrieBPE, PieceEncoder]] = {}
 def trie_encoder(tokenizer_path: str) -> tuple[TrieBPE, PieceEncoder]:
     if tokenizer_path not in _encoders:
         bpe = TrieBPE(tokenizer_path)
-        _encoders[tokenizer_path] = bpe, PieceEncoder(bpe.encode_many)
+        _encoders[tokenizer_path] = bpe, PieceEncoder(lambda texts: pa.array(bpe.encode_many(texts.to_pylist()), pa.large_binary()))
     return _encoders[tokenizer_path]
 
 

@@ -23,6 +23,9 @@ ENDS = ".,;:!?"
 #: Longer parts are encoded but not remembered.
 LONGEST = 64
 _BLANKS = "\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+#: Texts of one space and visible characters behind it, and of visible characters alone.
+BEHIND, VISIBLE = f"^ (?:[^ ]*[^{_BLANKS}])$", f"^[^{_BLANKS}]+$"
+_NOTHING = pa.array([b""], pa.large_binary())
 _ODD = f"^\\x01?$|^\\x01?[{_BLANKS}]|[{_BLANKS}]$"
 
 
@@ -47,33 +50,48 @@ class Recent:
         self.young.update(found)
 
 
+class RecentParts:
+    """Ids of the parts that were used last, of a bounded number: two halves as in Recent, held as Arrow columns (part, ids)."""
+
+    def __init__(self, bound: int):
+        self.half = bound // 2
+        self.young = self.old = pa.table({"part": pa.array([], pa.string()), "ids": pa.array([], pa.large_binary())})
+
+    def ids(self, parts: pa.Array, encode: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """The ids of parts; encode gives those that are not held."""
+        held = pa.concat_tables([self.young, self.old]).combine_chunks()
+        at = pc.index_in(parts, held.column("part"))
+        new = parts.filter(pc.is_null(at))
+        found = encode(new)
+        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        again = held.take(at.filter(pc.fill_null(pc.greater_equal(at, self.young.num_rows), False)))
+        fresh = pa.table({"part": new.filter(short), "ids": found.filter(short)})
+        if self.young.num_rows >= self.half:
+            self.old, self.young = self.young, self.young.slice(0, 0)
+        self.young = pa.concat_tables([self.young, again, fresh]).combine_chunks()
+        every = pa.chunked_array([*held.column("ids").chunks, found], pa.large_binary()).combine_chunks()
+        places = at.to_numpy(zero_copy_only=False).astype("f8")
+        places[np.isnan(places)] = held.num_rows + np.arange(len(new))
+        return every.take(pa.array(places.astype("i8")))
+
+
 class PieceEncoder:
     """Encodes columns of texts to ids. encode_many gives the ids, as bytes, of texts not seen lately.
 
     bound: parts that are remembered between batches.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], bound: int = 400_000):
-        self.encode_many, self.known = encode_many, Recent(bound)
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        """Of distinct parts; those without the mark have a space before them."""
-        known = self.known
-        ids = list(map(known.young.get, parts))
-        gaps = [k for k, x in enumerate(ids) if x is None]
-        if gaps and known.old:
-            again = list(map(known.old.get, (parts[k] for k in gaps)))
-            known.update({parts[k]: x for k, x in zip(gaps, again) if x is not None})
-            for k, x in zip(gaps, again):
-                ids[k] = x
-            gaps = [k for k, x in zip(gaps, again) if x is None]
-        if gaps:
-            new = [parts[k] for k in gaps]
-            found = self.encode_many([x[1:] if x[:1] == BARE else " " + x for x in new])
-            for k, x in zip(gaps, found, strict=True):
-                ids[k] = x
-            known.update({p: x for p, x in zip(new, found) if len(p) <= LONGEST})
-        return ids
+    def __init__(self, encode_many: Callable[[pa.Array], pa.Array], bound: int = 400_000):
+        self.encode_many, self.known = encode_many, RecentParts(bound)
+
+    def _ids(self, parts: pa.Array) -> pa.Array:
+        """Of parts; those without the mark have a space before them."""
+
+        def encode(new: pa.Array) -> pa.Array:
+            bare = pc.starts_with(new, BARE)
+            return self.encode_many(pc.if_else(bare, pc.utf8_slice_codeunits(new, 1), pc.binary_join_element_wise("", new, " ")))
+
+        return self.known.ids(parts, encode)
 
     def _odd(self, texts: list[str]) -> list[bytes]:
         cut = []
@@ -81,7 +99,7 @@ class PieceEncoder:
             first, *rest = _SAFE_SPACE.split(text)
             cut.append([BARE + first, *[BARE + " " + x if x[:1] == BARE else x for x in rest]])
         kinds = list(dict.fromkeys(x for own in cut for x in own))
-        ids = dict(zip(kinds, self._ids(kinds)))
+        ids = dict(zip(kinds, self._ids(pa.array(kinds, pa.string())).to_pylist()))
         return [b"".join([ids[x] for x in own]) for own in cut]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,25 +127,21 @@ class PieceEncoder:
         core, tails = pc.if_else(tailed, core, pieces).dictionary_encode(), pc.if_else(tailed, tails, "").dictionary_encode()
         used = np.zeros(len(pieces), bool)
         used[codes[~np.repeat(again, np.diff(bounds))]] = True
-        core_of, tail_of = core.indices.to_numpy(), tails.indices.to_numpy()
+        core_of = core.indices.to_numpy()
         wanted = np.zeros(len(core.dictionary), bool)
         wanted[core_of[used]] = True
-        table = [b""] * len(wanted)
-        at = np.flatnonzero(wanted)
-        for k, x in zip(at.tolist(), self._ids(core.dictionary.take(pa.array(at)).to_pylist())):
-            table[k] = x
-        ends = tails.dictionary.to_pylist()
-        table += [x if t else b"" for t, x in zip(ends, self._ids([BARE + t for t in ends]))]
-
-        length = np.array([len(x) // 4 for x in table], "i8")
-        flat, begin = np.frombuffer(b"".join(table), dtype="<u4"), np.cumsum(length) - length
-        slots = np.empty(2 * len(codes), "i8")
-        slots[0::2], slots[1::2] = core_of[codes], len(wanted) + tail_of[codes]
-        size = length[slots]
-        size[np.repeat(again, 2 * np.diff(bounds))] = 0
-        stop = np.cumsum(size)
-        ids = flat[np.repeat(begin[slots] - (stop - size), size) + np.arange(stop[-1])] if len(stop) and stop[-1] else np.zeros(0, "<u4")
-        counts = np.add.reduceat(size, 2 * first)
+        at, place = np.flatnonzero(wanted), np.cumsum(wanted) - 1
+        place[~wanted] = len(at)
+        known = self._ids(pa.concat_arrays([core.dictionary.take(pa.array(at)), pc.binary_join_element_wise(BARE, tails.dictionary, "")]))
+        cores, ends = pa.concat_arrays([known.slice(0, len(at)), _NOTHING]), known.slice(len(at))
+        whole = pc.binary_join_element_wise(cores.take(pa.array(place[core_of])), ends.take(tails.indices), pa.scalar(b"", pa.large_binary()))
+        whole = pa.concat_arrays([whole, _NOTHING])
+        if again.any():
+            codes = np.where(np.repeat(again, np.diff(bounds)), len(pieces), codes)
+        found = whole.take(pa.array(codes))
+        stop = np.frombuffer(found.buffers()[1], "i8", len(codes) + 1) >> 2
+        ids = np.frombuffer(found.buffers()[2] or b"", "<u4", stop[-1])
+        counts = np.diff(stop[bounds])
         if again.any():
             places = np.flatnonzero(again)
             extra = [np.frombuffer(x, "<u4") for x in self._odd([texts[i].as_py() for i in places.tolist()])]

@@ -23,11 +23,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.chunks import PieceEncoder
+from millrace.llm.chunks import BEHIND, VISIBLE, PieceEncoder
 from millrace.llm.common import lean, scratch, ship, small_batches
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -49,36 +50,40 @@ def library_encoder(tokenizer_path: str) -> PieceEncoder:
         own.no_truncation()
         own.no_padding()
 
-        special = {x.content for x in own.get_added_tokens_decoder().values()}
+        special = pa.array([x.content for x in own.get_added_tokens_decoder().values()], pa.string())
         newline = np.zeros(own.get_vocab_size(), bool)
         newline[own.encode("\n", add_special_tokens=False).ids] = True
         spaced = np.array([(own.id_to_token(i) or "").startswith(SPACE) for i in range(own.get_vocab_size())])
 
-        def ids_of(text: str) -> bytes:
-            return array("I", own.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        def ids_of(text: str) -> np.ndarray:
+            return np.frombuffer(array("I", own.encode_batch_fast([text], add_special_tokens=False)[0].ids), "<u4")
 
-        def together(texts: list[str], some: list[int], out: list[bytes], joined: str, starts: np.ndarray) -> None:
-            """Encodes some texts in one call; they begin where a token is one of starts."""
-            raw = ids_of(joined)
-            at = np.flatnonzero(starts[np.frombuffer(raw, dtype="<u4")])
-            skip = 0 if starts is spaced else 1
-            if len(at) == len(some) and at[0] == 0:
-                for i, a, b in zip(some, (4 * (at + skip)).tolist(), [*(4 * at[1:]).tolist(), len(raw)]):
-                    out[i] = raw[a:b]
+        def cut(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+            ends = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * sizes)]).astype("i8"))
+            return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, ends, pa.py_buffer(np.ascontiguousarray(ids))])
 
-        def encode_many(texts: list[str]) -> list[bytes]:
+        def alone(texts: pa.Array) -> pa.Array:
+            return pa.array([ids_of(x).tobytes() if x else b"" for x in texts.to_pylist()], pa.large_binary())
+
+        def together(texts: pa.Array, mark: str, starts: np.ndarray) -> pa.Array:
+            """Encodes some texts in one call, a mark before each; they begin where a token is one of starts."""
+            ids = ids_of(mark + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), mark)[0].as_py())
+            at = np.flatnonzero(starts[ids])
+            if len(at) != len(texts) or at[0] != 0:
+                return alone(texts)
+            sizes = np.diff(np.append(at, len(ids)))
+            return cut(np.delete(ids, at), sizes - 1) if mark else cut(ids, sizes)
+
+        def encode_many(texts: pa.Array) -> pa.Array:
             """Parts behind a space are encoded in one call, and so are bare ones, with a line end before each."""
-            out = [b""] * len(texts)
-            behind = [i for i, x in enumerate(texts) if x[:1] == " " and " " not in x[1:] and not x[-1].isspace()]
-            bare = [i for i, x in enumerate(texts) if x.split() == [x] and x not in special]
-            for some, mark, starts in ((behind, "", spaced), (bare, "\n", newline)):
-                for lo in range(0, len(some), 20_000):
-                    part = some[lo : lo + 20_000]
-                    together(texts, part, out, "".join([mark + texts[i] for i in part]), starts)
-            for i, x in enumerate(texts):
-                if x and not out[i]:
-                    out[i] = ids_of(x)
-            return out
+            behind = np.array(pc.match_substring_regex(texts, BEHIND), bool)
+            bare = np.array(pc.and_(pc.match_substring_regex(texts, VISIBLE), pc.invert(pc.is_in(texts, special))), bool)
+            rest, order, out = np.flatnonzero(~(behind | bare)), [], []
+            for some, mark, starts in ((np.flatnonzero(behind), "", spaced), (np.flatnonzero(bare), "\n", newline)):
+                order.append(some)
+                out += [together(texts.take(pa.array(some[lo : lo + 20_000])), mark, starts) for lo in range(0, len(some), 20_000)]
+            out.append(alone(texts.take(pa.array(rest))))
+            return pa.concat_arrays(out).take(pa.array(np.argsort(np.concatenate([*order, rest]))))
 
         _encoders[tokenizer_path] = PieceEncoder(encode_many)
     return _encoders[tokenizer_path]
