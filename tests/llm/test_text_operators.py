@@ -5,10 +5,12 @@ import random
 import zlib
 from array import array
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe_trie, html_extract, language_id, quality_rules, registry, token_store
+from millrace.llm.chunks import PieceEncoder
 from millrace.llm.common import scratch
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -179,6 +181,20 @@ def test_merges_equal_the_library(spark, reference):
     assert bpe_trie.encode_decode(empty_docs(spark), registry.default_tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("encode_many", [lambda path: token_store.library_encoder(path).encode_many, lambda path: bpe_trie.trie_encoder(path)[1].encode_many])
+def test_remembered_parts_turn_over(reference, encode_many):
+    """Batches of texts through an encoder that remembers 40 parts."""
+    r, encoder = random.Random(5), PieceEncoder(encode_many(registry.default_tokenizer()), bound=40)
+    atoms = [*"abé. ,;!?\n\t\x01\x85'", " ", " ", "\r\n", "<|endoftext|>", " the", "ing", "日本", "Ġ", "a" * 70, "\x00", "3.14"]
+    for size in [1, 2, 20, 20] * 40:
+        texts = [r.choice([None, ""]) if r.random() < 0.05 else "".join(r.choices(atoms, k=r.choice([1, 2, 5, 30]))) for _ in range(size)]
+        ids, n = encoder.encode(pa.array(texts, pa.string()))
+        want = [reference[1](x) for x in texts]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x], texts
+        assert encoder.known.young.num_rows + encoder.known.old.num_rows < 2000
+    assert [len(x) for x in encoder.encode(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_bytes_that_are_no_text(reference):
     bpe = bpe_trie.TrieBPE(registry.default_tokenizer())
     half = raw([bpe.id_of[b"\xe6"], bpe.id_of[b"a"]])
