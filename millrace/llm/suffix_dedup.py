@@ -28,10 +28,11 @@ hashes; other columns pass where rows are kept whole; an empty table gives an em
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,10 @@ U = np.uint64
 LENGTH, KMER = 100, 32
 SPAN = LENGTH - KMER  # bytes of a string that may lie before its anchor
 SEGMENT, MARGIN = 1 << 19, 2 * LENGTH
+#: Bytes that are hashed at once, so that the arrays stay in a core's cache, and anchors that leave together.
+AT_ONCE, ANCHORS = 1 << 17, 1 << 14
+#: Pairs of suffixes that are compared at once.
+PAIRS = 1 << 14
 MANY = 256
 _PLACE_BITS = 24
 
@@ -92,6 +97,19 @@ def _anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         docs, base = np.array([x[0] for x in pieces], "i8"), np.array([x[1] for x in pieces], "i8")
         return docs[seg], (base[seg] + at - first[seg]).astype("i4"), kmer.view("i8"), context.view("i8")
 
+    held, n = [], 0
+    for found in _flushed(batches, flush):
+        held.append(found)
+        n += len(found[0])
+        if n > ANCHORS:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _flushed(batches: Iterator[pa.RecordBatch], flush: Callable) -> Iterator[tuple[np.ndarray, ...]]:
+    """What flush gives for the pieces of texts, of about AT_ONCE bytes together."""
     for batch in small_batches(batches, "text", SEGMENT):
         pieces, size = [], 0
         for doc, text in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist()):
@@ -99,7 +117,7 @@ def _anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
             for a, b, lo, hi in _segments(raw):
                 pieces.append((doc, a, raw[a:b], lo - a, hi - a))
                 size += b - a
-                if size > SEGMENT:
+                if size > AT_ONCE:
                     yield flush(pieces)
                     pieces, size = [], 0
         if pieces:
@@ -143,16 +161,27 @@ def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield claim(*held)
 
 
+def _bytes(column: pa.Array) -> list[bytes]:
+    """Texts of a column as UTF-8."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+def _members(column: pa.ListArray, *names: str) -> tuple[list[tuple[int, int]], list[pa.Array]]:
+    """From and to of each row's members (null: none) in the fields of all members, and these fields."""
+    stop = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    bounds = np.concatenate([[0], stop]).tolist()
+    every = column.flatten()
+    return list(zip(bounds[:-1], bounds[1:])), [pc.struct_field(every, k) for k in names]
+
+
 def _origin_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SHA-256 of each range that a claim has in an origin's text."""
     for batch in small_batches(batches, "text", 1 << 20):
-        rows = [
-            (number, x["start"], x["stop"], hashlib.sha256(raw[x["start"] : x["stop"]]).digest())
-            for number, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("number", "text", "ranges")))
-            for raw in (text.encode(),)
-            for x in ranges
-        ]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["origin", "from", "to", "digest"])
+        bounds, (start, stop) = _members(batch.column("ranges"), "start", "stop")
+        first, last = start.to_pylist(), stop.to_pylist()
+        digests = [hashlib.sha256(raw[first[k] : last[k]]).digest() for raw, (lo, hi) in zip(_bytes(batch.column("text")), bounds) for k in range(lo, hi)]
+        origin = np.repeat(batch.column("number").to_numpy(), [hi - lo for lo, hi in bounds])
+        yield pa.RecordBatch.from_arrays([pa.array(origin), start, stop, pa.array(digests, pa.binary())], names=["origin", "from", "to", "digest"])
 
 
 def _common(sums: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -214,8 +243,8 @@ def _verified(raw: np.ndarray, a: np.ndarray, b: np.ndarray, claimed: np.ndarray
     """Claimed common prefixes, cut at the first byte that differs after all (hashes may collide)."""
     out = claimed.copy()
     width = max(1, int(claimed.max(initial=0)))
-    for lo in range(0, len(a), 65_536):
-        s = slice(lo, lo + 65_536)
+    for lo in range(0, len(a), 2048):
+        s = slice(lo, lo + 2048)
         k = np.arange(width)
         inside = k < claimed[s, None]
         x, y = (np.minimum(v[s, None] + k, len(raw) - 1) for v in (a, b))
@@ -235,8 +264,19 @@ def _extensions(rows: list[tuple[int, int, int, bytes, int]]) -> tuple[np.ndarra
     order, common = suffix_sort(raw, begin + left, sizes - left, group)
     backward = np.ascontiguousarray(raw[::-1])
     sums, down = prefix(backward)
+    anchor = len(raw) - (begin + left)
     out: list[list[np.ndarray]] = [[], [], []]
-    near = common.copy()
+
+    def settle(x: np.ndarray, y: np.ndarray, right: np.ndarray) -> None:
+        p, q = anchor[x], anchor[y]
+        behind = _verified(backward, p, q, _common(sums, down, p, q, np.minimum(left[x], left[y])))
+        ok = behind + right >= LENGTH
+        x, y, right, behind = x[ok], y[ok], right[ok], behind[ok]
+        later = np.where((doc[x] > doc[y]) | ((doc[x] == doc[y]) & (pos[x] > pos[y])), x, y)
+        for have, new in zip(out, (doc[later], pos[later] - behind, pos[later] + right)):
+            have.append(new)
+
+    near, open_, n = common.copy(), [], 0  # open_: pairs of so many lags that one hash tells to share LENGTH bytes
     for lag in range(1, len(rows)):
         i = np.arange(len(rows) - lag)
         near = common[i] if lag == 1 else np.minimum(near[:-1], common[lag - 1 :])
@@ -244,13 +284,18 @@ def _extensions(rows: list[tuple[int, int, int, bytes, int]]) -> tuple[np.ndarra
         if not len(met):
             break
         x, y, right = order[met], order[met + lag], near[met]
-        p, q = (len(raw) - (begin[z] + left[z]) for z in (x, y))
-        behind = _verified(backward, p, q, _common(sums, down, p, q, np.minimum(left[x], left[y])))
-        ok = behind + right >= LENGTH
-        x, y, right, behind = x[ok], y[ok], right[ok], behind[ok]
-        later = np.where((doc[x] > doc[y]) | ((doc[x] == doc[y]) & (pos[x] > pos[y])), x, y)
-        for have, new in zip(out, (doc[later], pos[later] - behind, pos[later] + right)):
-            have.append(new)
+        lack = np.maximum(LENGTH - right, 0)  # bytes before the anchor that a string needs
+        ok = lack <= np.minimum(left[x], left[y])
+        x, y, right, lack = x[ok], y[ok], right[ok], lack[ok]
+        p, q = anchor[x], anchor[y]
+        ok = (sums[p + lack] - sums[p]) * down[p] == (sums[q + lack] - sums[q]) * down[q]
+        open_.append((x[ok], y[ok], right[ok]))
+        n += len(open_[-1][0])
+        if n > PAIRS:
+            settle(*(np.concatenate(z) for z in zip(*open_)))
+            open_, n = [], 0
+    if n:
+        settle(*(np.concatenate(z) for z in zip(*open_)))
     return tuple(np.concatenate(x) if x else np.zeros(0, "i8") for x in out)
 
 
@@ -273,7 +318,7 @@ def _span_batch(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Reco
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches come sorted by k-mer; groups are handled whole, many at a time."""
     held: list[tuple[int, int, int, bytes, int]] = []
-    for batch in batches:
+    for batch in (x.slice(lo, 2048) for x in batches for lo in range(0, x.num_rows, 2048)):
         held += zip(*(batch.column(c).to_pylist() for c in ("kmer", "number", "pos", "bytes", "before")))
         if len(held) > 4096:
             cut = len(held)
@@ -288,15 +333,14 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", 1 << 20):
-        rows = []
-        for doc, text, firsts in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist(), batch.column("firsts").to_pylist()):
-            raw = text.encode()
-            for x in firsts:
-                a = max(0, x["pos"] - SPAN)
-                rows.append((x["kmer"], doc, x["pos"], raw[a : x["pos"] + LENGTH], x["pos"] - a, x["many"]))
-        if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kmer", "number", "pos", "bytes", "before", "many"])
+        bounds, (pos, kmer, many) = _members(batch.column("firsts"), "pos", "kmer", "many")
+        if not len(pos):
+            continue
+        at = pos.to_pylist()
+        own = [raw[max(0, x - SPAN) : x + LENGTH] for raw, (lo, hi) in zip(_bytes(batch.column("text")), bounds) for x in at[lo:hi]]
+        doc = np.repeat(batch.column("number").to_numpy(), [hi - lo for lo, hi in bounds])
+        before = np.minimum(pos.to_numpy(), SPAN).astype("i4")
+        yield pa.RecordBatch.from_arrays([kmer, pa.array(doc), pos, pa.array(own, pa.binary()), pa.array(before), many], names=["kmer", "number", "pos", "bytes", "before", "many"])
 
 
 def _reach(x: bytes, y: bytes) -> int:
@@ -349,22 +393,22 @@ def _cut(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
             out = []
-            for number, text, claims, spans in zip(*(batch.column(c).to_pylist() for c in ("number", "text", "claims", "spans"))):
-                data = text.encode()
-                raw = np.frombuffer(data, "u1")
-                edge = np.zeros(len(raw) + 1, "i4")
-                for x in claims or ():
-                    a, b = x["start"], min(len(raw), x["stop"])
-                    if hashlib.sha256(data[a:b]).digest() == x["digest"]:
-                        edge[a] += 1
-                        edge[b] -= 1
-                for x in spans or ():
-                    edge[x["start"]] += 1
-                    edge[x["stop"]] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
-                kept = raw[~gone].tobytes()
-                tail = kept.decode(errors="ignore") if full else hashlib.sha256(kept).hexdigest()
-                out.append((number, int(gone.sum()), int((np.diff(gone.astype("i1"), prepend=0) == 1).sum()), tail))
+            claims, fields = _members(batch.column("claims"), "start", "stop", "digest")
+            begin, end, digest = (x.to_pylist() for x in fields)
+            spans, fields = _members(batch.column("spans"), "start", "stop")
+            first, last = (x.to_pylist() for x in fields)
+            for number, data, (lo, hi), (a, b) in zip(batch.column("number").to_pylist(), _bytes(batch.column("text")), claims, spans):
+                gone = list(zip(first[a:b], last[a:b]))
+                gone += [(begin[k], min(len(data), end[k])) for k in range(lo, hi) if hashlib.sha256(data[begin[k] : end[k]]).digest() == digest[k]]
+                kept, removed, runs, reach = [], 0, 0, -1
+                for start, stop in sorted(gone):
+                    if start > reach:  # a run that does not touch the one before
+                        kept.append(data[max(reach, 0) : start])
+                        runs, removed, reach = runs + 1, removed + stop - start, stop
+                    elif stop > reach:
+                        removed, reach = removed + stop - reach, stop
+                left = b"".join([*kept, data[max(reach, 0) :]])
+                out.append((number, removed, runs, left.decode(errors="ignore") if full else hashlib.sha256(left).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)

@@ -291,6 +291,34 @@ def test_suffix_sort():
     assert common.tolist() == [lcp(a, b) for a, b in zip(got, got[1:])]
 
 
+def test_only_pairs_that_share_a_string_are_held_byte_by_byte(monkeypatch):
+    """Contexts that share no more than their anchor cost one hash a pair; those that share a string are all compared."""
+    r = random.Random(12)
+    letters = lambda n: bytes(r.choices(range(97, 123), k=n))
+    anchor, tail = letters(suffix_dedup.KMER), letters(suffix_dedup.SPAN)
+    held, whole = [], suffix_dedup._verified
+    monkeypatch.setattr(suffix_dedup, "_verified", lambda raw, a, b, claimed: held.append(len(a)) or whole(raw, a, b, claimed))
+    apart = [(1, d, 500, letters(68) + anchor + letters(68), 68) for d in range(200)]
+    doc, _, _ = suffix_dedup._extensions(apart)
+    assert not len(doc) and sum(held) <= 200
+    held.clear()
+    alike = [(2, 300 + d, 500, letters(68) + anchor + tail, 68) for d in range(20)]
+    doc, start, stop = suffix_dedup._extensions(apart + alike)
+    assert set(doc.tolist()) == set(range(301, 320)) and set(stop.tolist()) == {600} and set(start.tolist()) <= set(range(490, 501))
+    assert sum(held) <= 220 + 20 * 19 // 2
+
+
+def test_bytes_hashed_at_once_are_bounded(monkeypatch):
+    r = random.Random(13)
+    texts = [" ".join(words(r, 300)) for _ in range(600)]
+    sizes, hashed = [], suffix_dedup.anchors
+    monkeypatch.setattr(suffix_dedup, "anchors", lambda raw, *rest: sizes.append(len(raw)) or hashed(raw, *rest))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(texts)], names=["number", "text"])
+    rows = sum(len(x[0]) for x in suffix_dedup._anchors_of(iter([batch])))
+    lengths = [len(x.encode()) for x in texts]
+    assert sum(sizes) == sum(lengths) and max(sizes) <= (1 << 17) + max(lengths) and rows > 0
+
+
 # mixing
 
 
