@@ -11,7 +11,9 @@ import functools
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,11 @@ Reduce = Callable[[Any, list[Any]], Iterable[tuple[Any, Any]]]
 #: Options that operators accept for compatibility; they change nothing, since inputs are immutable and Spark schedules.
 NEUTRAL = frozenset({"inspect", "nothreading", "pushoff", "collapse"})
 
+#: Rows of a cell of match() at most, of values of few bytes and of texts and nested values; bytes of a batch that comes out of Python.
+CELL_ROWS, WIDE_ROWS, BATCH_BYTES = 16_384, 256, 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 def checked(given: dict[str, Any], allowed: Iterable[str] = ()) -> dict[str, Any]:
     """The options that have a meaning; raises ValueError for one that the operator does not take."""
@@ -222,12 +229,42 @@ class Pairs:
         return self.reduce(F.collect_list("value"))
 
     def match(self, other: Pairs) -> Pairs:
-        """Inner join on the key: the left value becomes the key, the right value the value, in full product."""
+        """Inner join on the key: the left value becomes the key, the right value the value, in full product.
+
+        The product of a key is made from pairs of cells of bounded size, which are dealt out over all tasks: few keys, or
+        a hot one, keep no task busy alone, and no task holds more than two cells at a time.
+        """
         a, b = self.df.schema["key"].dataType, other.df.schema["key"].dataType
         if a != b:
             raise ValueError(f"keys differ in type: {a.simpleString()}, {b.simpleString()}")
-        left, right = self.df.select("key", F.col("value").alias("_left")), other.df.select("key", F.col("value").alias("_right"))
-        return Pairs(left.join(right, "key").select(F.col("_left").alias("key"), F.col("_right").alias("value")))
+        spark = self.df.sparkSession
+        ship(spark)
+        if spark.conf.get(BATCH_CONF, None) is None:
+            spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+        def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for left, right in zip(b.column(0), b.column(1)):
+                    left, right = left.values, right.values
+                    rows = max(1, min(CELL_ROWS, BATCH_BYTES // (left.nbytes // len(left) + right.nbytes // len(right) + 1)))
+                    for j in range(0, len(right), rows):
+                        some = right.slice(j, rows)
+                        step = max(1, rows // len(some))
+                        tiled = some.take(pa.array(np.tile(np.arange(len(some)), min(step, len(left)))))
+                        for i in range(0, len(left), step):
+                            each = pa.array(np.repeat(np.arange(i, min(i + step, len(left))), len(some)))
+                            yield pa.RecordBatch.from_arrays([left.take(each), tiled.slice(0, len(each))], ["key", "value"])
+
+        pairs = self._cells("_left").join(other._cells("_right"), "key").select("_left", "_right")
+        dealt = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        types = T.StructType([T.StructField("key", self.field_types()[1]), T.StructField("value", other.field_types()[1])])
+        return Pairs(dealt.mapInArrow(product, types))
+
+    def _cells(self, name: str) -> DataFrame:
+        """key and arrays of values, nulls included: those of a key in a run of rows. Pairs without a key are left out."""
+        block = F.floor(F.monotonically_increasing_id() / (CELL_ROWS if isinstance(self.field_types()[1], FIXED) else WIDE_ROWS))
+        values = F.transform(F.collect_list(F.struct("value")), lambda x: x["value"])
+        return self.df.where("key is not null").groupBy("key", block.alias("_block")).agg(values.alias(name)).drop("_block")
 
     # order
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.pairs import Builder, Pairs
-from millrace.operators import tuples
+from millrace.operators import pairs, tuples
 
 FLOWERS = [(i, n) for i, n in enumerate(["Matsu", "Ume", "Sakura", "Fuji", "Ayame", "Botan", "Hagi", "Susuki", "Kiku", "Momiji", "Yanagi", "Kiri"])]
 
@@ -71,6 +71,20 @@ def test_reverse_pair_match(flowers, spark):
         a.match(Pairs.create(spark, [("x", 1)], "string", "long"))
 
 
+def test_match_of_one_key_keeps_all_tasks_busy(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "CELL_ROWS", 64)
+    a = Pairs(spark.range(500).coalesce(1).selectExpr("1L AS key", "nullif(id, 7) AS value"))
+    b = Pairs(spark.range(300).coalesce(1).selectExpr("1L AS key", "cast(nullif(id, 9) AS string) AS value"))
+    got = a.match(b)
+    busy = got.local_counts().collect()
+    assert len(busy) == 4 and max(r["n"] for r in busy) < 75_000
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = [(None if i == 7 else i, None if j == 9 else str(j)) for i in range(500) for j in range(300)]
+    assert sorted((tuple(r) for r in got.df.collect()), key=key) == sorted(want, key=key)
+    c = Pairs(b.df.selectExpr("key", "array(value, NULL) AS value"))
+    assert c.match(a).count() == 150_000
+
+
 def test_reduce_forms_agree(spark):
     r = random.Random(1)
     data = [(r.choice([1, 1, 1, 2, 3, -4]), r.randint(-9, 9)) for _ in range(500)]
