@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import fill_template
+from millrace.operators.pairs import framed
 from millrace.storage import ship
 
 RESULT = "task long, command string, code int, stdout string, stderr string, tries int, worker int, seconds double"
@@ -52,7 +53,7 @@ def run_commands(commands: DataFrame, command: str = "value", task: str = "key",
     """
     ship(commands.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def results(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[Any, ...]]:
         for f in frames:
             for t, c in zip(f["task"], f["command"]):
                 tries, code, began = 0, 1, time.perf_counter()
@@ -62,7 +63,10 @@ def run_commands(commands: DataFrame, command: str = "value", task: str = "key",
                 if strict and code:
                     raise RuntimeError(f"command of task {t} failed with {code}: {err[-500:]}")
                 worker = TaskContext.get().partitionId()
-                yield pd.DataFrame([(t, c, code, out, err, tries, worker, time.perf_counter() - began)], columns=["task", "command", "code", "stdout", "stderr", "tries", "worker", "seconds"])
+                yield t, c, code, out, err, tries, worker, time.perf_counter() - began
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return framed(results(frames), "task", "command", "code", "stdout", "stderr", "tries", "worker", "seconds")
 
     rows = commands.select(F.col(task).cast("long").alias("task"), F.col(command).alias("command"))
     return rows.repartition(slots).mapInPandas(run, RESULT)
@@ -74,8 +78,7 @@ def farm(tasks: DataFrame, fn: Callable[[Any, Any], Iterable[tuple[Any, Any]]],
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for k, v in zip(f["key"], f["value"]):
-                yield pd.DataFrame(list(fn(k, v)), columns=["key", "value"])
+            yield from framed(x for k, v in zip(f["key"], f["value"]) for x in fn(k, v))
 
     return tasks.repartition(slots).mapInPandas(run, f"key {key}, value {value}")
 

@@ -28,7 +28,7 @@ NEUTRAL = frozenset({"inspect", "nothreading", "pushoff", "collapse"})
 
 #: Rows of a cell of match() at most, of values of few bytes and of texts and nested values; bytes of a batch that comes out of Python.
 CELL_ROWS, WIDE_ROWS, BATCH_BYTES = 16_384, 256, 4 << 20
-BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_ROWS, BATCH_CONF = 10_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -40,6 +40,37 @@ def checked(given: dict[str, Any], allowed: Iterable[str] = ()) -> dict[str, Any
     return {k: v for k, v in given.items() if k in set(allowed)}
 
 
+def _weight(x: Any) -> int:
+    """About how many bytes a value takes."""
+    if isinstance(x, (str, bytes)):
+        return len(x)
+    if isinstance(x, dict):
+        return sum(_weight(k) + _weight(v) for k, v in x.items())
+    return sum(map(_weight, x)) if isinstance(x, (list, tuple)) else getattr(x, "nbytes", 8)
+
+
+def framed(rows: Iterable[tuple[Any, ...]], *columns: str) -> Iterator[pd.DataFrame]:
+    """Rows, as they come, in frames of 10,000 or 4 MB: a frame costs as much as thousands of rows. Columns are key and value by default."""
+    names, held, size = list(columns) or ["key", "value"], [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(map(_weight, r))
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield _frame(held, names)
+            held, size = [], 0
+    if held:
+        yield _frame(held, names)
+
+
+def _frame(rows: list[tuple[Any, ...]], names: list[str]) -> pd.DataFrame:
+    """Rows as a frame. Where numbers stand beside others or None, pandas would round whole ones to floats: such columns keep their values."""
+    f = pd.DataFrame(rows, columns=names)
+    for i, n in enumerate(names):
+        if f[n].dtype == float and not all(type(r[i]) is float for r in rows):
+            f[n] = pd.Series([r[i] for r in rows], dtype=object)
+    return f
+
+
 class Pairs:
     def __init__(self, df: DataFrame):
         if df.columns != ["key", "value"]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.context import Context, options_of, parse_properties
 from millrace.functions import scalars
-from millrace.operators import external
+from millrace.operators import external, pairs
 from millrace.operators.lanes import History, Item, lane_names, parse_lanes, run_lanes
 from millrace.operators.resume import Run
 from millrace.operators.trace import Trace
@@ -46,6 +46,23 @@ def test_farm(spark):
     assert sorted(r["value"] for r in external.farm(t, lambda k, v: [(k, v * v)], "long", "long", 3).collect()) == [i * i for i in range(10)]
 
 
+def test_farm_frames_hold_many_pairs(spark):
+    n, big = 25_000, (1 << 60) + 1
+    asked = []
+
+    def fn(k, v):
+        asked.append(k)
+        return [(k, len(asked)), (big, None)] if k % 2 else []
+
+    got = external.farm(spark.range(n).selectExpr("id AS key", "id AS value"), fn, "long", "long", 1).collect()
+    assert sorted(r["key"] for r in got if r["value"] is not None) == list(range(1, n, 2))
+    assert [r["key"] for r in got if r["value"] is None] == [big] * (n // 2)
+    frames = list(pairs.framed((i, "x") for i in range(n)))
+    assert [len(f) for f in frames] == [10_000, 10_000, 5_000]
+    assert [len(f) for f in pairs.framed((i, "x" * (3 << 20)) for i in range(5))] == [2, 2, 1]
+    assert list(pairs.framed([])) == []
+
+
 def test_job_table(spark):
     text = ["# comment\n", "  % also\n", "TITLE=Example\n", "PARAM=-i $1 -n $2 -x $10\n", "a\t1\n", "b\t2\n"]
     t = external.parse_job_table(text)
