@@ -28,6 +28,7 @@ NEUTRAL = frozenset({"inspect", "nothreading", "pushoff", "collapse"})
 
 #: Rows of a cell of match() at most, of values of few bytes and of texts and nested values; bytes of a batch that comes out of Python.
 CELL_ROWS, WIDE_ROWS, BATCH_BYTES = 16_384, 256, 4 << 20
+NESTED = (T.ArrayType, T.StructType, T.MapType)
 BATCH_ROWS, BATCH_CONF = 10_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -205,7 +206,19 @@ class Pairs:
         return Pairs(self.df.groupBy("key").agg(value.alias("value")))
 
     def reduce_with(self, fn: Reduce, key: str, value: str, order_by: str | None = None) -> Pairs:
-        """A Python function from a key and all its values to any number of pairs; a group must fit a task."""
+        """A Python function from a key and all its values to any number of pairs; a group must fit a task.
+
+        Groups stream through a task in the order of their keys, many to a batch. Values that are null come as None, last in their order.
+        """
+        if isinstance(self.field_types()[0], NESTED):
+            return self._reduce_framewise(fn, key, value, order_by)
+        order = [F.col("value").asc_nulls_last()] if order_by == "value" else []
+        if order_by not in (None, "key", "value"):
+            raise ValueError(f"no column to order by: {order_by}")
+        return self.shuffle()._reduce_runs(fn, key, value, *order)
+
+    def _reduce_framewise(self, fn: Reduce, key: str, value: str, order_by: str | None) -> Pairs:
+        """reduce_with by frames of a group each, for keys that Python cannot compare."""
         ship(self.df.sparkSession)
 
         def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -215,26 +228,33 @@ class Pairs:
 
         return Pairs(self.df.groupBy("key").applyInPandas(run, f"key {key}, value {value}"))
 
-    def combine(self, fn: Reduce, key: str, value: str) -> Pairs:
-        """reduce_with inside each partition: a combiner for before a shuffle. Groups stream, one at a time."""
+    def _reduce_runs(self, fn: Reduce, key: str, value: str, *order: Column) -> Pairs:
+        """fn of each run of a key in each partition, sorted by key. Nulls travel beside their columns, so that whole numbers stay whole."""
         ship(self.df.sparkSession)
+        filled = [F.coalesce(n, F.lit(0).cast(t)).alias(n) if isinstance(t, T.NumericType) else F.col(n) for n, t in zip(("key", "value"), self.field_types())]
+        rows = self.df.sortWithinPartitions(F.col("key").asc(), *order).select(*filled, F.isnull("key").alias("_no_key"), F.isnull("value").alias("_no_value"))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def runs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[Any, list[Any]]]:
             held_key, held, some = None, [], False
-            out: list[tuple[Any, Any]] = []
             for f in frames:
-                for k, v in zip(f["key"], f["value"]):
-                    if some and k != held_key:
-                        out += fn(held_key, held)
+                keys, values = ([None if n else x for x, n in zip(f[c], f[no])] if f[no].any() else list(f[c]) for c, no in (("key", "_no_key"), ("value", "_no_value")))
+                for k, v in zip(keys, values):
+                    if some and k != held_key and (k == k or held_key == held_key):
+                        yield held_key, held
                         held = []
                     held_key, some = k, True
                     held.append(v)
-                yield pd.DataFrame(out, columns=["key", "value"])
-                out = []
             if some:
-                yield pd.DataFrame(list(fn(held_key, held)), columns=["key", "value"])
+                yield held_key, held
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return framed(x for k, vs in runs(frames) for x in fn(k, vs))
 
-        return Pairs(self.df.sortWithinPartitions("key").mapInPandas(run, f"key {key}, value {value}"))
+        return Pairs(rows.mapInPandas(run, f"key {key}, value {value}"))
+
+    def combine(self, fn: Reduce, key: str, value: str) -> Pairs:
+        """reduce_with inside each partition: a combiner for before a shuffle. Groups stream, one at a time."""
+        return self._reduce_runs(fn, key, value)
 
     def reduce_all(self, value: Column) -> Any:
         """One aggregate over every pair, whatever its key; None without pairs."""

@@ -122,12 +122,12 @@ def kv_reduce_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT o_custkey AS key, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS value FROM orders GROUP BY 1")
 def kv_reduce_python(spark: SparkSession, sf: str) -> DataFrame:
-    return _orders(spark, sf).reduce_with(lambda k, vs: [(k, ",".join(map(str, vs)))], "long", "string", order_by="value").df
+    return _orders(spark, sf).reduce_with(lambda k, vs: [(k, ",".join(str(v) for v in vs if v is not None) or None)], "long", "string", order_by="value").df
 
 
 @_query("SELECT o_custkey AS key, CAST(sum(o_orderkey) AS BIGINT) AS value FROM orders GROUP BY 1")
 def kv_combine_shuffle_reduce(spark: SparkSession, sf: str) -> DataFrame:
-    return _orders(spark, sf).combine(lambda k, vs: [(k, sum(vs))], "long", "long").reduce(F.sum("value")).df
+    return _orders(spark, sf).combine(lambda k, vs: [(k, sum(known) if (known := [v for v in vs if v is not None]) else None)], "long", "long").reduce(F.sum("value")).df
 
 
 @_query("SELECT CAST(sum(o_orderkey) AS BIGINT) AS total, max(o_orderkey) AS most, count(*) AS n FROM orders")

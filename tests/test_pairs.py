@@ -97,6 +97,28 @@ def test_reduce_forms_agree(spark):
     assert p.reduce_some(F.sum("value"), "value is not null").count() == 1
 
 
+def test_reduce_with_streams_groups(spark):
+    """Many groups share a worker's call; nulls and NaN are groups, and whole numbers beside nulls stay whole."""
+    big = (1 << 60) + 1
+    data = [(i % 9000, i) for i in range(27_000)] + [(None, big), (None, None), (big, 1), (big - 1, 2), (5, None)]
+    p = Pairs.create(spark, data, "long", "long")
+    calls = []
+
+    def fn(k, vs):
+        calls.append(k)
+        return [(k, f"{vs} {len(calls)}")]
+
+    got = [(r["key"], *r["value"].rsplit(" ", 1)) for r in p.reduce_with(fn, "long", "string", order_by="value").df.collect()]
+    want = {k: [k, k + 9000, k + 18_000] + [None] * (k == 5) for k in range(9000)} | {None: [big, None], big: [1], big - 1: [2]}
+    assert len(got) == len(want) and {k: vs for k, vs, _ in got} == {k: str(vs) for k, vs in want.items()}
+    assert max(int(n) for *_, n in got) > 1000
+    d = Pairs.create(spark, [(float("nan"), 1), (None, 2), (float("nan"), 3), (0.0, 4), (-0.0, 5), (None, 6)], "double", "long")
+    sums = lambda k, vs: [(k, sum(vs))]
+    assert sorted(r["value"] for r in d.reduce_with(sums, "double", "long").df.collect()) == [4, 8, 9]
+    nested = Pairs.of(d.df, F.array("key"), "value")
+    assert nested.reduce_with(lambda k, vs: [(1, sum(vs))], "long", "long").count() == 3
+
+
 def test_negative_maximum(spark):
     assert Pairs.create(spark, [(1, -5), (1, -3)], "long", "long").reduce_all(F.max("value")) == -3
 
